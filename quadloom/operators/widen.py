@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.runtime import shuffle_width
-
 BLANKS = " \t\n\r\x0b\x0c"
 TYPES = {"iri": T.StringType(), "string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
 #: A wide table has at most this many columns; more attributes are an error, not a larger closure.
 MAX_SLOTS = 5000
+#: Rows of listed attributes for each reduce task of the register shuffle.
+ROWS_PER_TASK = 100_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -72,6 +72,7 @@ def registers(quads: DataFrame, wide_columns: DataFrame) -> tuple[RDD, list[tupl
     rows = quads.join(lookup, F.col("p") == F.col("__p")).where(F.col("s").isNotNull()).select(
         F.col("s").alias("e"), "__slot", readable(F.col("__kind"), F.col("o_kind"), F.col("o_lex")).alias("v"), F.unix_micros(F.col("load_ts").cast("timestamp")).alias("t"), F.col("seq").alias("n")
     )
+    width = max(1, -(-quads.where(F.col("p").isin([p for _, _, p in listed])).count() // ROWS_PER_TASK))
     readers = [_reader(k) for _, k in slots]
     low = -(2**63)
 
@@ -105,7 +106,7 @@ def registers(quads: DataFrame, wide_columns: DataFrame) -> tuple[RDD, list[tupl
             a[k] = c if old is None else join(old, c)
         return a
 
-    return rows.rdd.map(lambda r: (r[0], r)).combineByKey(create, add, merge, shuffle_width(spark)), slots
+    return rows.rdd.map(lambda r: (r[0], r)).combineByKey(create, add, merge, width), slots
 
 
 def cell_states(quads: DataFrame, wide_columns: DataFrame) -> DataFrame:
