@@ -3,7 +3,7 @@
 Token totals of the cells (source, language, topic) go to the driver, as many numbers as the three small
 domains multiply to. Raking alternates between the marginals; a cell's factor, the expected number of copies
 of its documents, never exceeds what its source may be repeated. Documents are then taken by systematic
-sampling along their size inside each cell, so every share comes close to its expectation.
+sampling along cells and sizes, so every share comes close to its expectation.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from quadloom.runtime import cut
 #: Languages kept apart; others, unknown and null count as "other".
 LANGUAGES = ("de", "en", "es", "fr")
 TOPICS = 16
-#: Documents of a cell that are sampled along one ordering.
+#: Documents of a source that are sampled along one ordering.
 SHARD_ROWS = 20_000
 #: mix_targets may list at most this many sources.
 MAX_SOURCES = 10_000
@@ -101,16 +101,16 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str
     cells.columns = ["source", "lang", "topic", "mass", "rows"]
     total = float(cells["mass"].sum())
     raked = rake(cells[cells["source"].notna() & (cells["mass"] > 0)], want, total)
-    raked["shards"] = np.ceil(raked["rows"] / SHARD_ROWS).astype(int) if len(raked) else []
+    raked["shards"] = np.ceil(raked.groupby("source")["rows"].transform("sum") / SHARD_ROWS).astype(int) if len(raked) else []
     plan = spark.createDataFrame(list(raked[["source", "lang", "topic", "factor", "shards"]].itertuples(index=False, name=None)), "__s string, __l string, __t int, __factor double, __shards int")
     on = (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("__topic") == F.col("__t"))
     drawn = docs.where(F.col("__size") > 0).join(F.broadcast(plan), on)  # sources x languages x topics rows
-    drawn = drawn.withColumn("__shard", F.pmod(F.xxhash64("__key", F.lit(seed)), F.col("__shards")))
-    order = Window.partitionBy("__source", "__lang", "__topic", "__shard").orderBy("__size", F.xxhash64("__key", F.lit(seed + 1)), "__key")
-    part = F.col("__factor") - F.floor("__factor")
-    start = F.pmod(F.xxhash64("__source", "__lang", "__topic", "__shard", F.lit(seed + 2)), F.lit(1_000_000)) / 1e6
-    at = F.row_number().over(order)
-    extra = F.floor(at * part + start) - F.floor((at - 1) * part + start)
+    drawn = drawn.withColumns({"__shard": F.pmod(F.xxhash64("__key", F.lit(seed)), F.col("__shards")), "__part": F.col("__factor") - F.floor("__factor")})
+    order = Window.partitionBy("__source", "__shard").orderBy("__lang", "__topic", "__size", F.xxhash64("__key", F.lit(seed + 1)), "__key").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.pmod(F.xxhash64("__source", "__shard", F.lit(seed + 2)), F.lit(1_000_000)) / 1e6
+    upto = F.sum("__part").over(order) + start
+    drawn = drawn.withColumn("__upto", upto)
+    extra = F.greatest(F.floor("__upto") - F.floor(F.col("__upto") - F.col("__part")), F.lit(0))
     taken = drawn.select("*", (F.floor("__factor") + extra).cast("int").alias("copies")).where(F.col("copies") > 0)
     mixture = taken.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__size").alias("size"), "copies")
     mixture = cut(mixture)

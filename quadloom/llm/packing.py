@@ -75,7 +75,7 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int) ->
     return PackPlan(bounds, np.array(sorted(ranges), dtype=np.int64), base)
 
 
-def pack(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: int = 2048, buckets: int = 64) -> DataFrame:
+def pack(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: int = 2048, buckets: int = 128) -> DataFrame:
     """``(key, size, n_pieces, piece, first_token, n_tokens, container)`` for each piece of each item.
 
     Items within the capacity are one piece; larger ones are split into full pieces and a rest, full pieces
