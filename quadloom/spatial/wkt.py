@@ -8,8 +8,8 @@ import numpy as np
 
 _PREFIX = re.compile(r"\s*(?:<[^>]*>|SRID=\d+;)\s*", re.I)
 _HEAD = re.compile(r"\s*(MULTIPOLYGON|POLYGON)\s*(?:ZM|Z|M)?\s*(EMPTY\s*$|(?=\())", re.I)
-_NUM = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-_RING = re.compile(rf"\(\s*{_NUM}\s+{_NUM}\s*(?:,\s*{_NUM}\s+{_NUM}\s*)*\)")
+_NUM = r"[-+]?(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][-+]?\d++)?"  # possessive: a broken text fails in one pass
+_RING = re.compile(rf"\(\s*+{_NUM}\s++{_NUM}\s*+(?:,\s*+{_NUM}\s++{_NUM}\s*+)*+\)")
 _ONE = re.compile(r"\(\s*R(?:\s*,\s*R)*\s*\)$")
 _MANY = re.compile(r"\(\s*\(\s*R(?:\s*,\s*R)*\s*\)(?:\s*,\s*\(\s*R(?:\s*,\s*R)*\s*\))*\s*\)$")
 _PART = re.compile(r"\(\s*R(?:\s*,\s*R)*\s*\)")
