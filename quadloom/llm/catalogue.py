@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import gridcluster, heavyhitters, mixing, packing, ranksummary
+from quadloom.llm import gridcluster, heavyhitters, mixing, packing, ranksummary, toxicity
 from quadloom.llm.sizes import TOKEN, size
 from quadloom.operators.keyskew import QUAD, whole_quads
 from quadloom.runtime import cut, table
@@ -123,9 +123,29 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(toxicity.labelled(documents, table(spark, sf_dir, "doc_labels"))))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit line."""
+    return _scored(spark, sf_dir).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return _scored(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per source."""
+    return toxicity.rates(_scored(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_frequent_items, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_packed, p7_containers, p8_found, p8_mixture, p8_shares)
+    for f in (p2_found, p2_frequent_items, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_packed, p7_containers, p8_found, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)
 }
 
 _WHOLE = "whole AS (SELECT DISTINCT g, s, p, o FROM quad_ids WHERE g > 0 AND s > 0 AND p > 0 AND o > 0)"
