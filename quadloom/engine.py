@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadloom import terms
 from quadloom.sparql.compiler import Compiler
 from quadloom.sparql.parser import parse
-from quadloom.spatial.sparql import FUNCTIONS, spatial_prefilter
+from quadloom.spatial.sparql import FUNCTIONS
 from quadloom.terms import IRI
 
 
@@ -26,7 +26,7 @@ class Engine:
 
     def sparql(self, text: str) -> DataFrame:
         """SELECT gives one column per variable, ASK one boolean, CONSTRUCT and DESCRIBE s, p, o in canonical text."""
-        return Compiler(self.source, FUNCTIONS, [spatial_prefilter]).run(parse(text, self.prefixes))
+        return Compiler(self.source, FUNCTIONS).run(parse(text, self.prefixes))
 
     def find(self, g=None, s=None, p=None, o=None, named_only: bool = False) -> DataFrame:
         """Quads (g, s, p, o) in canonical text that match the given terms; any graph without ``g``."""

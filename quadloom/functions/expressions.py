@@ -138,8 +138,8 @@ class Scope:
 
     # calls
     def call(self, name: str, args: tuple) -> Typed:
-        if name.startswith("<"):
-            return self.by_iri(name[1:], args)
+        if name.startswith("iri:"):
+            return self.by_iri(name[4:], args)
         if name in ("&&", "||"):
             a, b = (self.condition(x) for x in args)
             return BOOLEAN, a & b if name == "&&" else a | b

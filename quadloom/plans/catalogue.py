@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadloom.plans import problems
+from quadloom.plans import problems, sparql_queries
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**problems.QUERIES, **sparql_queries.QUERIES}
+ORACLES = {**problems.ORACLES, **sparql_queries.ORACLES}

@@ -32,9 +32,9 @@ def parts(e: Any, kind: type) -> list[Any]:
 
 
 class Compiler:
-    def __init__(self, source, functions: dict | None = None, rewriters: list | None = None):
+    def __init__(self, source, functions: dict | None = None):
         self.source, self.spark = source, source.spark
-        self.functions, self.rewriters = functions or {}, rewriters or []
+        self.functions = functions or {}
         self.base, self.named = None, None  # dataset clauses
         self.count = itertools.count()
 
@@ -120,9 +120,6 @@ class Compiler:
         return -constants - 0.1 * len(ps) + 2 * any(isinstance(p.p, Var) for p in ps)
 
     def filtered(self, condition: Any, inner: Any, graph: Any) -> Frame:
-        for rewrite in self.rewriters:
-            if (f := rewrite(self, condition, inner, graph)) is not None:
-                return f
         ranges: dict[str, list[tuple[str, float]]] = {}
         for c in conjuncts(condition):  # numeric bounds go along to the scan
             if isinstance(c, A.Call) and c.name in _FLIP:
@@ -252,7 +249,7 @@ class Compiler:
             case A.Negated(forward, backward):
                 out = None
                 for iris, a, b in ((forward, s, o), (backward, o, s)):
-                    if iris or not backward:
+                    if iris:
                         p = self.fresh("p")
                         f = self.bgp([A.Pattern(Var(a), Var(p), Var(b))], graph, {})
                         f = Frame(f.df.where(~terms.lexical(f.kinds[p], F.col(p)).isin([i.value for i in iris])), f.kinds).pick([s, o])
@@ -366,7 +363,7 @@ class Compiler:
             out = kind if native else DOUBLE
             if native and kind.dt in INTEGERS:
                 out = INTEGER if a.name == "SUM" else DECIMAL
-                n = n.cast("bigint") if a.name == "SUM" else n.cast("decimal(20,0)")
+                n = n.cast("bigint") if a.name == "SUM" else n.cast("decimal(38,18)")
             elif native and kind.dt == "xsd:float":
                 out, n = DOUBLE, n.cast("double")
             if a.name == "SUM":
