@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quadloom.plans import problems, sparql_queries
+from quadloom.plans import problems, sparql_queries, spatial_queries, store_queries
 
-QUERIES = {**problems.QUERIES, **sparql_queries.QUERIES}
-ORACLES = {**problems.ORACLES, **sparql_queries.ORACLES}
+_MODULES = (problems, sparql_queries, store_queries, spatial_queries)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
