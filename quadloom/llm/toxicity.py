@@ -302,7 +302,7 @@ def labelled(documents: DataFrame, labels: DataFrame) -> list[tuple[str | None,
     """(text, majority label) of at most ``MAX_LABELLED`` documents; ties count as positive, null labels not at all."""
     rated = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) >= 0.5).cast("int").alias("__label"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", "__label").toArrow()
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__label").toArrow()
     return sorted(zip(rows["text"].to_pylist(), rows["__label"].to_pylist(), strict=True), key=lambda r: (r[1], r[0]))
 
 
