@@ -94,13 +94,15 @@ def weighted_percentiles(weighted: DataFrame, keys: Sequence[str], value: str, w
     keys = list(keys)
     rows = weighted.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(value).alias("__v"), F.col(weight).alias("__w"))
     ranged = cut(rows.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()))  # written: the ids must not change
-    parts = ranged.groupBy(*keys, "__part").agg(F.sum("__w").alias("__pw"))
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    parts = parts.select(*keys, "__part", F.coalesce(F.sum("__pw").over(before), F.lit(0)).alias("__before"), F.sum("__pw").over(whole).alias("__total"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    parts = ranged.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__part").alias("__p")).agg(F.sum("__w").alias("__pw"))
+    before = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*names, "__p", F.coalesce(F.sum("__pw").over(before), F.lit(0)).alias("__before"), F.sum("__pw").over(Window.partitionBy(*names)).alias("__total"))
     inside = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    on = [ranged[k].eqNullSafe(parts[k]) for k in keys] + [ranged["__part"] == parts["__part"]]
-    joined = ranged.join(parts, on, "inner").select(*[ranged[k] for k in keys], ranged["__part"], "__v", "__w", "__before", "__total")
+    on = F.col("__part") == F.col("__p")
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    joined = ranged.join(parts, on)
     hi = joined.withColumn("__hi", F.col("__before") + F.sum("__w").over(inside))
     wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
     hit = hi.select(*keys, "__v", "__w", "__hi", "__total", wanted).where((F.col("__hi") >= F.col("q") * F.col("__total")) & (F.col("__hi") - F.col("__w") < F.greatest(F.col("q") * F.col("__total"), F.lit(1e-9))))
