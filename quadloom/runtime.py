@@ -42,13 +42,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+    """Write ``df`` as a table in the shared checkpoint folder and go on from there.
 
-    Iterative operators call this each round so that the lineage stays short and the loss of an
-    executor costs a re-read of a file, not a replay of the loop.
+    Iterative operators call this each round: the lineage ends at the files, so the loss of an executor costs a
+    re-read, and, other than after ``checkpoint()``, the optimizer keeps neither plan nor statistics of earlier
+    rounds, which would grow exponentially where a round uses the last one twice. The files go when the
+    session ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_folder(spark, "cut")
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
