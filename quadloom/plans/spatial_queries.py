@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.engine import Engine
-from quadloom.runtime import table
+from quadloom.runtime import shuffle_width, table
 from quadloom.sources import quads
 from quadloom.spatial import geometry, hilbert
 from quadloom.terms import DEFAULT_GRAPH, WKT_LITERAL
@@ -20,7 +20,8 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(k, x0, y0, x1, y1, as_wkt)``: an axis-aligned rectangle for each part."""
     k = F.col("p_partkey")
     x0, y0 = (k * 7919) % 100000, (k * 104729) % 80000
-    df = table(spark, sf_dir, "part").select(k.alias("k"), x0.alias("x0"), y0.alias("y0"), (x0 + 10 + (k % 37) * 40).alias("x1"), (y0 + 10 + (k % 23) * 30).alias("y1"))
+    parts = table(spark, sf_dir, "part").select("p_partkey").repartition(shuffle_width(spark), "p_partkey")  # polygon work is heavy, the file small
+    df = parts.select(k.alias("k"), x0.alias("x0"), y0.alias("y0"), (x0 + 10 + (k % 37) * 40).alias("x1"), (y0 + 10 + (k % 23) * 30).alias("y1"))
     return df.withColumn("as_wkt", F.format_string("POLYGON((%d %d, %d %d, %d %d, %d %d, %d %d))", "x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1", "x0", "y0"))
 
 

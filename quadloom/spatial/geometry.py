@@ -223,29 +223,40 @@ def num_scales(width: Column, height: Column, box: Column) -> Column:
 
 
 def pixels(rings: list[np.ndarray]) -> np.ndarray:
-    """Per row (y, first x, last x) the runs of integer points in or on a polygon."""
+    """Per row (y, first x, last x) the runs of integer points in or on a polygon.
+
+    Candidate spans of all rows at once: between crossings just above and just below each row, along level
+    edges, and single points on edges; then overlapping spans of a row are merged by a running maximum.
+    """
     e = wkt.edges(rings)
-    y0, y1 = int(np.ceil(e[:, [1, 3]].min())), int(np.floor(e[:, [1, 3]].max()))
-    runs = []
-    for y in range(y0, y1 + 1):
-        lo, hi = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
-        here = e[(lo <= y) & (hi >= y)]
-        flat = here[here[:, 1] == here[:, 3]]
-        slant = here[here[:, 1] != here[:, 3]]
-        xs = slant[:, 0] + (y - slant[:, 1]) * (slant[:, 2] - slant[:, 0]) / (slant[:, 3] - slant[:, 1])
-        crossing = np.sort(xs[(slant[:, 1] > y) != (slant[:, 3] > y)])
-        spans = [(a, b) for a, b in crossing.reshape(-1, 2)] + [(min(a, b), max(a, b)) for a, b in flat[:, [0, 2]]] + [(x, x) for x in xs]
-        spans = sorted((int(np.ceil(a - 1e-9)), int(np.floor(b + 1e-9))) for a, b in spans)
-        last = None
-        for a, b in spans:
-            if b < a:
-                continue
-            if last is not None and a <= last[2] + 1:
-                last[2] = max(last[2], b)
-            else:
-                last = [y, a, b]
-                runs.append(last)
-    return np.array(runs, dtype=np.int64).reshape(-1, 3)
+    y = np.arange(int(np.ceil(e[:, [1, 3]].min())), int(np.floor(e[:, [1, 3]].max())) + 1, dtype=np.float64)
+    flat, slant = e[e[:, 1] == e[:, 3]], e[e[:, 1] != e[:, 3]]
+    found = []
+    for at in range(0, len(y), 4096):  # blocks of rows bound the memory of tall polygons
+        rows = y[at : at + 4096, None]
+        xs = slant[:, 0] + (rows - slant[:, 1]) * (slant[:, 2] - slant[:, 0]) / (slant[:, 3] - slant[:, 1])
+        for crossing in ((slant[:, 1] > rows) != (slant[:, 3] > rows), (slant[:, 1] >= rows) != (slant[:, 3] >= rows)):
+            ends = np.sort(np.where(crossing, xs, np.inf), axis=1)
+            ends = ends[:, : ends.shape[1] // 2 * 2].reshape(len(rows), -1, 2)
+            r, k = np.nonzero(np.isfinite(ends[..., 1]))
+            found.append((rows[r, 0], ends[r, k, 0], ends[r, k, 1]))
+        r, k = np.nonzero((np.minimum(slant[:, 1], slant[:, 3]) <= rows) & (np.maximum(slant[:, 1], slant[:, 3]) >= rows))
+        found.append((rows[r, 0], xs[r, k], xs[r, k]))
+    level = flat[flat[:, 1] == np.floor(flat[:, 1])]
+    found.append((level[:, 1], np.minimum(level[:, 0], level[:, 2]), np.maximum(level[:, 0], level[:, 2])))
+    row, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(3))
+    lo, hi, row = np.ceil(lo - 1e-9).astype(np.int64), np.floor(hi + 1e-9).astype(np.int64), row.astype(np.int64)
+    keep = hi >= lo
+    row, lo, hi = row[keep], lo[keep], hi[keep]
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    if not len(row):
+        return np.zeros((0, 3), dtype=np.int64)
+    wide = np.int64(2) ** 32
+    upto = np.maximum.accumulate(row * wide + hi)
+    first = np.flatnonzero(np.r_[True, (row * wide + lo)[1:] > upto[:-1] + 1])
+    last = np.r_[first[1:], len(row)] - 1
+    return np.stack([row[first], lo[first], upto[last] - row[first] * wide], axis=1)
 
 
 FEATURES = ("mesh_surface", "pixel_surface", "perimeter", "perimeter_surface_ratio", "sphericity", "spherical_disproportion", "maximum_2d_diameter", "major_axis_length", "minor_axis_length", "elongation")
