@@ -102,7 +102,10 @@ def segments_cross(a: np.ndarray, b: np.ndarray) -> bool:
 def intersects(a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> bool:
     """Whether two sets of polygons share a point; touching counts."""
     for p in a:
+        low, high = p[0].min(axis=0), p[0].max(axis=0)
         for q in b:
+            if (q[0].max(axis=0) < low).any() or (q[0].min(axis=0) > high).any():
+                continue
             if segments_cross(edges(p), edges(q)):
                 return True
             if contains(q, p[0][:1, 0], p[0][:1, 1])[0] or contains(p, q[0][:1, 0], q[0][:1, 1])[0]:
