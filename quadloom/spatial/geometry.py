@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -106,23 +107,77 @@ def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ok boolean, n_polygons int, n_rings int, n_points int, x0 double, y0 double, x1 double, y1 double, degenerate boolean")
 
 
+def meets_boxes(rings: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which boxes, as (n, 2) lower and upper corners, share a point with a polygon: an edge meets the box, or the polygon has it inside."""
+    x1, y1, x2, y2 = wkt.edges(rings).T
+    (xl, yl), (xh, yh) = low.T[:, :, None], high.T[:, :, None]
+    near = (np.minimum(x1, x2) <= xh) & (np.maximum(x1, x2) >= xl) & (np.minimum(y1, y2) <= yh) & (np.maximum(y1, y2) >= yl)
+    # sides of an edge's line on which the corners of the box lie
+    a, b, c, d = (x2 - x1) * (yl - y1), (x2 - x1) * (yh - y1), (y2 - y1) * (xl - x1), (y2 - y1) * (xh - x1)
+    edge = near & (np.minimum(a, b) <= np.maximum(c, d)) & (np.maximum(a, b) >= np.minimum(c, d))
+    crossings = ((y1 > yl) != (y2 > yl)) & ((a > c) == (y2 > y1))
+    return edge.any(axis=1) | (crossings.sum(axis=1) % 2 == 1)
+
+
+def tiles_of(found: list[list[np.ndarray]], size: int = TILE, exact: bool = True) -> Iterator[tuple[int, int]]:
+    """``(tx, ty)`` of the tiles that polygons, at least one, or only their bounds meet. The far border of a tile belongs to the next one."""
+    x0, y0, x1, y1 = (math.floor(v / size) for v in wkt.extent(found))
+    wide, tall = x1 - x0 + 1, y1 - y0 + 1
+    if wide * tall == 1:  # a polygon within one tile needs no test
+        yield x0, y0
+        return
+    block = max(1, 200_000 // max(len(r) for p in found for r in p))  # bounds the memory of large polygons
+    for at in range(0, wide * tall, block):
+        i = np.arange(at, min(at + block, wide * tall))
+        t = np.stack([x0 + i // tall, y0 + i % tall], axis=1)
+        if exact:
+            low = t.astype(np.float64) * size
+            t = t[np.logical_or.reduce([meets_boxes(p, low, low + size) for p in found])]
+        yield from map(tuple, t.tolist())
+
+
 def tiles(df: DataFrame, keys: Sequence[str], text: str, size: int = TILE, exact: bool = True) -> DataFrame:
-    """``(keys, tx, ty)``: tiles of a grid that polygons truly meet; touching counts."""
-    b = df.select(*keys, F.col(text).alias("__t"), bounds(F.col(text)).alias("__b")).where(F.col("__b").isNotNull())
-    axis = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"__b.{lo}") / size), F.floor(F.col(f"__b.{hi}") / size)))
-    grid = b.select("*", axis("x0", "x1").alias("tx")).select("*", axis("y0", "y1").alias("ty"))
-    if exact:
-        corner = [(F.col(c) + d) * size for c, d in (("tx", 0), ("ty", 0), ("tx", 1), ("ty", 1))]
-        inside = (F.col("__b.x0") >= corner[0]) & (F.col("__b.x1") < corner[2]) & (F.col("__b.y0") >= corner[1]) & (F.col("__b.y1") < corner[3])
-        square = F.format_string("POLYGON ((%d %d, %d %d, %d %d, %d %d, %d %d))", *[c.cast("bigint") for c in (corner[0], corner[1], corner[2], corner[1], corner[2], corner[3], corner[0], corner[3], corner[0], corner[1])])
-        # a polygon within one tile needs no test; the cell's far border belongs to the next tile
-        grid = grid.where(inside | _intersects(F.col("__t"), square))
-    return grid.select(*keys, "tx", "ty")
+    """``(keys, tx, ty)``: tiles of a grid that polygons truly meet; touching counts. Unreadable, empty and null texts fall out."""
+    chosen = df.select(*keys)
+    names = [*chosen.columns, "tx", "ty"]
+
+    def pack(batch: pa.RecordBatch, rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        at = pa.array([r[0] for r in rows], pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(names) - 2)), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, t in enumerate(batch.column(len(names) - 2).to_pylist()):
+                for tx, ty in tiles_of(found, size, exact) if (found := wkt.polygons(t)) else ():
+                    rows.append((i, tx, ty))
+                    if len(rows) == 50_000:  # polygons over many tiles don't fill the memory
+                        yield pack(batch, rows)
+                        rows = []
+            yield pack(batch, rows)
+
+    schema = T.StructType([*chosen.schema.fields, T.StructField("tx", T.LongType()), T.StructField("ty", T.LongType())])
+    return df.select(*keys, F.col(text).alias("__t")).mapInArrow(run, schema)
+
+
+def framed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(__k, __t, __b)``: key, text and bounds of each readable, not empty text."""
+    rows = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *b) for i, t in enumerate(batch.column(1).to_pylist()) if (b := wkt.box(t))]
+            at = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([f[i] for f in found], pa.float64()) for i in range(1, 5))], ["__k", "__t", *sides])
+
+    sides = ["x0", "y0", "x1", "y1"]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in sides)])
+    return rows.mapInArrow(run, schema).select("__k", "__t", F.struct(*sides).alias("__b"))
 
 
 def batch_intersects(geometries: DataFrame, boxes: DataFrame, key: str, box_key: str, text: str = "as_wkt", size: int = 2048) -> DataFrame:
-    """``(key, box_key)``, each once, of polygons that meet boxes ``(box_key, x0, y0, x1, y1)``: an equi-join on tiles, bounds, then the exact test."""
-    b = geometries.select(F.col(key).alias("__k"), F.col(text).alias("__t"), bounds(F.col(text)).alias("__b")).where(F.col("__b").isNotNull())
+    """``(key, box_key)``, each once, of polygons that meet boxes ``(box_key, x0, y0, x1, y1)``: an equi-join on tiles, bounds, then the exact test. Unreadable, empty and null texts fall out."""
+    b = framed(geometries, key, text)
     cover = lambda df, x0, x1, y0, y1: df.select("*", F.explode(F.sequence(F.floor(x0 / size), F.floor(x1 / size))).alias("__tx")).select("*", F.explode(F.sequence(F.floor(y0 / size), F.floor(y1 / size))).alias("__ty"))
     left = cover(b, F.col("__b.x0"), F.col("__b.x1"), F.col("__b.y0"), F.col("__b.y1"))
     box = boxes.select(F.col(box_key).alias("__bk"), F.struct("x0", "y0", "x1", "y1").alias("__q"))

@@ -50,8 +50,11 @@ def polygons(text: str | None) -> list[list[np.ndarray]] | None:
 def box(text: str | None) -> tuple[float, float, float, float] | None:
     """Bounding box of readable, non-empty text."""
     found = polygons(text)
-    if not found:
-        return None
+    return extent(found) if found else None
+
+
+def extent(found: list[list[np.ndarray]]) -> tuple[float, float, float, float]:
+    """Bounding box of polygons, at least one."""
     points = np.concatenate([p[0] for p in found])
     (x0, y0), (x1, y1) = points.min(axis=0), points.max(axis=0)
     return float(x0), float(y0), float(x1), float(y1)

@@ -168,3 +168,34 @@ def test_pyramid_and_empty(spark):
     got = rows(geometry.pyramid(df, "k", "t").select("k", "level"))
     assert got == [(k, s) for k in (1, 4) for s in range(4)]
     assert geometry.shape_features(df.where("k = 2"), "k", "t").collect() == []
+
+
+def test_broken_text_meets_nothing(spark):
+    data = [
+        (1, "POLYGON((10 10,20 10,20 20,10 10))"),
+        (2, "POLYGON((10 10,20 10,20 20"),
+        (3, "POLYGON((10,10,20,20))"),
+        (4, "POLYGON((10 10,20 10,20 20,11 11))"),
+        (5, "POLYGON((10 10,600 10,600 20"),
+        (6, "POLYGON EMPTY"),
+        (7, None),
+        (8, "<urn:crs> POLYGON((500 500,512 500,512 510,500 500))"),
+        (9, "POLYGON((0 0,1500 0,0 1500,0 0))"),
+    ]
+    df = spark.createDataFrame(data, "k long, t string")
+    big = [(9, x, y) for x in range(3) for y in range(3) if 512 * (x + y) <= 1500]
+    assert rows(geometry.tiles(df, ["k"], "t")) == sorted([(1, 0, 0), (8, 0, 0), (8, 1, 0), *big], key=repr)
+    assert rows(geometry.tiles(df, ["k"], "t", exact=False)) == sorted([(1, 0, 0), (8, 0, 0), (8, 1, 0), *((9, x, y) for x in range(3) for y in range(3))], key=repr)
+    boxes = spark.createDataFrame([(0, 0, 0, 400, 400), (1, 0, 0, 4000, 4000), (2, 1400, 1400, 1450, 1450)], "b int, x0 int, y0 int, x1 int, y1 int")
+    assert rows(geometry.batch_intersects(df, boxes, "k", "b", "t")) == [(1, 0), (1, 1), (8, 1), (9, 0), (9, 1)]
+
+
+def test_tiles_of_is_the_intersection():
+    r = random.Random(8)
+    texts = ["POLYGON" + star(r, r.randint(-900, 3000), r.randint(-900, 3000)) for _ in range(40)] + ["MULTIPOLYGON(" + star(r, 1500, 1500) + "," + star(r, 4500, 900) + ")" for _ in range(10)]
+    texts += ["POLYGON((-100 -100,900 -100,900 900,-100 900,-100 -100),(90 90,610 90,610 610,90 610,90 90))", "POLYGON((100 100,200 100,200 200,100 200,100 100))", "POLYGON((0 200,200 0,400 200,200 400,0 200))"]
+    for found in map(wkt.polygons, texts):
+        x0, y0, x1, y1 = (int(np.floor(v / 100)) for v in wkt.extent(found))
+        square = lambda x, y: [[np.array([[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]], float) * 100]]
+        want = [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) if wkt.intersects(found, square(x, y))]
+        assert list(geometry.tiles_of(found, 100)) == want
