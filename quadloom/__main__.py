@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from quadloom.engine import Engine
 from quadloom.sources import ntriples, quads, turtle
+from quadloom.spatial import derived
 
 
 def main() -> None:
@@ -16,6 +17,7 @@ def main() -> None:
     load = commands.add_parser("load", help="Turtle, N-Triples or N-Quads files into a new store")
     load.add_argument("source")
     load.add_argument("store")
+    load.add_argument("--spatial", action="store_true", help="add the quads derived from WKT literals")
     query = commands.add_parser("query", help="SPARQL over a store")
     query.add_argument("store")
     query.add_argument("text")
@@ -25,7 +27,7 @@ def main() -> None:
     if args.command == "load":
         read = turtle.load if args.source.rstrip("/").removesuffix(".gz").endswith(".ttl") else ntriples.load
         found, bad = read(spark, args.source)
-        quads.write(found, args.store)
+        quads.write(derived.added(found) if args.spatial else found, args.store)
         print(f"rejected: {bad.count()}")
     else:
         Engine.store(spark, args.store).sparql(args.text).show(args.rows, truncate=False)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quadloom.engine import Engine
 from quadloom.runtime import shuffle_width, table
 from quadloom.sources import quads
-from quadloom.spatial import geometry, hilbert
-from quadloom.terms import DEFAULT_GRAPH, WKT_LITERAL
+from quadloom.spatial import derived, geometry, hilbert
+from quadloom.terms import DEFAULT_GRAPH, WKT_LITERAL, Kind, text
 
 BOX = (20000, 20000, 30000, 30000)
 #: Random query boxes of the batched join.
@@ -127,11 +127,16 @@ def pyramid_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spatial_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of derived quads per predicate: a text and four corners for each level below 15."""
-    p = geometry.pyramid(rectangles(spark, sf_dir), "k", "as_wkt").where("level < 15")
-    c = p.select("k", "level", F.explode(geometry.corners(F.col("wkt"))).alias("h"))
-    names = p.select(F.concat(F.lit("asWKT"), F.col("level")).alias("p")).unionByName(c.select(F.concat(F.lit("hilbertCorner"), F.col("level")).alias("p")))
-    return names.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    """Numbers of derived quads in the spatial graph per predicate: a text and four corners for each level below 15."""
+    r = rectangles(spark, sf_dir).select(F.concat(F.lit("<urn:t:part/"), F.col("k"), F.lit(">")).alias("s"), "as_wkt")
+    d = derived.derive(r, "s", "as_wkt").where(F.col("g") == f"<{derived.SPATIAL_GRAPH}>")
+    return d.groupBy(F.regexp_extract("p", f"^<{derived.VOCAB}(.*)>$", 1).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def derived_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived quads of the real polygons, in the spatial graph and the graphs of tiles."""
+    g = table(spark, sf_dir, "geometries").select(text(Kind("iri"), F.col("s")).alias("s"), "as_wkt")
+    return derived.derive(g, "s", "as_wkt")
 
 
 def num_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +158,7 @@ def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     sf_intersects, batch_intersects, spatial_candidates, hilbert_ranges_box, hilbert_roundtrip, hilbert_index, hilbert_centroid, hilbert_corners, merge_ranges, range_area, range_contains, wkt_parse, degenerate_polygons,
-    grid_tiles, grid_lookup, pyramid_levels, spatial_quads, num_scales, pca_axes, shape_features,
+    grid_tiles, grid_lookup, pyramid_levels, spatial_quads, derived_quads, num_scales, pca_axes, shape_features,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 

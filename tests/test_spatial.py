@@ -9,7 +9,8 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quadloom.spatial import geometry, hilbert, nearby, wkt
+from quadloom.sources import quads
+from quadloom.spatial import derived, geometry, hilbert, nearby, wkt
 
 GEO = "geo_id long, g long, as_wkt string, hilbert_corners array<long>, x2 string, __a int"
 REG = "region long, g long, as_wkt string"
@@ -199,3 +200,19 @@ def test_tiles_of_is_the_intersection():
         square = lambda x, y: [[np.array([[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]], float) * 100]]
         want = [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) if wkt.intersects(found, square(x, y))]
         assert list(geometry.tiles_of(found, 100)) == want
+
+
+def test_derived_quads(spark, tmp_path):
+    geo, as_wkt = "^^<http://www.opengis.net/ont/geosparql#wktLiteral>", "<http://www.opengis.net/ont/geosparql#asWKT>"
+    texts = [("a", "POLYGON((510 0,514 0,514 4,510 4,510 0))"), ("a", "POLYGON((510 0,512 0,514 0,514 4,510 4,510 0))"), ("b", "POLYGON((0 0,4 0,4 4"), ("c", "POLYGON EMPTY")]
+    data = [("<urn:x-graph:default>", f"<urn:{s}>", as_wkt, f'"{t}"{geo}') for s, t in texts] + [("<urn:x-graph:default>", "<urn:d>", "<urn:p>", '"POLYGON((0 0,4 0,4 4,0 0))"^^xsd:string')]
+    source = spark.createDataFrame(data, "g string, s string, p string, o string")
+    quads.write(derived.added(source), str(tmp_path / "store"))
+    want = set(data)
+    for n, (x0, x1, side), tiles in ((0, (510, 514, 4), (0, 1)), (1, (255, 257, 2), (0,))):
+        shape, name = f'"POLYGON (({x0} 0, {x1} 0, {x1} {side}, {x0} {side}, {x0} 0))"{geo}', f"<urn:x-graph:hal/asWKT{n}>"
+        want |= {(f"<{g}>", "<urn:a>", name, shape) for g in ("urn:x-graph:spatial", *(f"urn:x-graph:grid:{n}:{x}:0" for x in tiles))}
+        for h in hilbert.encode(np.array([x0, x0, x1, x1]), np.array([0, side, side, 0])).tolist():
+            want.add(("<urn:x-graph:spatial>", "<urn:a>", f"<urn:x-graph:hal/hilbertCorner{n}>", f'"{h}"^^xsd:long'))
+    assert rows(quads.read(spark, str(tmp_path / "store")).quads()) == sorted(want, key=repr)
+    assert derived.of_quads(source).count() == len(want) - len(data)
