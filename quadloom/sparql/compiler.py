@@ -162,11 +162,23 @@ class Compiler:
         return join(f, body.pick(keep), "anti" if negated else "semi", test)
 
     def marked(self, f: Frame, e: A.Exists, graph: Any) -> tuple[Frame, Column]:
-        body, _ = self.correlated(f, e, graph)
+        body, condition = self.correlated(f, e, graph)
         keep, name = sorted(body.kinds.keys() & f.kinds.keys()), self.fresh("exists")
-        some = body.pick(keep)
-        some = Frame(some.df.distinct().withColumn(name, F.lit(True)), {**some.kinds, name: BOOLEAN})
-        f = join(f, some, "left")
+        if condition is None:
+            some = body.pick(keep)
+            some = Frame(some.df.distinct().withColumn(name, F.lit(True)), {**some.kinds, name: BOOLEAN})
+            f = join(f, some, "left")
+        else:
+            # the filter is tested for each distinct row of outer variables; copies of these lead back to the rows
+            needed = {v.name for v in parts(condition, Var)}
+            outer = sorted(f.kinds.keys() & (body.kinds.keys() | needed))
+            copies = {v: f"{name}_{i}" for i, v in enumerate(outer)}
+            rows = f.pick(outer)
+            rows = Frame(rows.df.distinct().select("*", *[F.col(f"`{v}`").alias(c) for v, c in copies.items()]), rows.kinds)
+            met = join(rows, body.pick(sorted(body.kinds.keys() & (f.kinds.keys() | needed))), "semi", lambda kinds: self.scope(kinds).condition(condition))
+            some = met.df.select(*copies.values(), F.lit(True).alias(name))
+            on = [F.col(f"`{v}`").eqNullSafe(F.col(c)) for v, c in copies.items()]
+            f = Frame(f.df.join(some, on, "left").drop(*copies.values()), {**f.kinds, name: BOOLEAN})
         column = F.coalesce(F.col(name), F.lit(False))
         return f, ~column if e.negated else column
 

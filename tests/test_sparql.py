@@ -140,3 +140,10 @@ def test_mapped_nulls_and_star(spark):
     assert "Join" not in plan
     assert rows(e.sparql("SELECT (COUNT(*) AS ?n) { ?s ?p ?o }")) == [(10,)]
     assert rows(e.sparql("SELECT ?p { <urn:t:t/2> ?p ?o }")) == [("http://www.w3.org/1999/02/22-rdf-syntax-ns#type",), ("urn:c:k",), ("urn:c:v",)]
+
+
+def test_exists_as_value_keeps_the_outer_filter(engine):
+    test = "EXISTS { ?x <urn:next> ?y FILTER(?y = ?o && ?x != ?s) }"
+    assert rows(engine.sparql(f"SELECT ?s WHERE {{ ?s <urn:next> ?o FILTER(false || {test}) }}")) == [("<urn:s3>",), ("<urn:s4>",)]
+    assert rows(engine.sparql(f"SELECT ?s WHERE {{ ?s <urn:next> ?o FILTER(false || NOT {test}) }}")) == [("<urn:s1>",), ("<urn:s2>",)]
+    assert rows(engine.sparql(f"SELECT ?s ?e WHERE {{ ?s <urn:next> ?o BIND({test} AS ?e) }}")) == [("<urn:s1>", False), ("<urn:s2>", False), ("<urn:s3>", True), ("<urn:s4>", True)]
