@@ -448,13 +448,15 @@ class Compiler:
         triples = self.source.quads().select("s", "p", "o").distinct()
         todo = cut(roots.where(F.col("s").isNotNull()).distinct())
         found = seen = None
-        for _ in range(MAX_ROUNDS):
+        for n in itertools.count(1):  # ends, as each round has blank nodes not seen before
             new = cut(triples.join(todo, "s", "left_semi"))
             found = new if found is None else found.unionByName(new)
             seen = todo if seen is None else seen.unionByName(todo)
             todo = cut(new.where(F.col("o").startswith("_:")).select(F.col("o").alias("s")).distinct().join(seen, "s", "left_anti"))
             if todo.isEmpty():
                 break
+            if n % 20 == 0:  # unions of long chains stay small
+                found, seen = cut(found), cut(seen)
         return found.distinct()
 
 

@@ -6,6 +6,7 @@ from conftest import rows
 from quadloom.engine import Engine
 from quadloom.sources import ntriples, quads, turtle
 from quadloom.sources.mapped import MappedSource, Table
+from quadloom.sparql import compiler
 from quadloom.sparql.parser import SparqlSyntaxError, parse
 from quadloom.terms import IRI
 
@@ -147,3 +148,10 @@ def test_exists_as_value_keeps_the_outer_filter(engine):
     assert rows(engine.sparql(f"SELECT ?s WHERE {{ ?s <urn:next> ?o FILTER(false || {test}) }}")) == [("<urn:s3>",), ("<urn:s4>",)]
     assert rows(engine.sparql(f"SELECT ?s WHERE {{ ?s <urn:next> ?o FILTER(false || NOT {test}) }}")) == [("<urn:s1>",), ("<urn:s2>",)]
     assert rows(engine.sparql(f"SELECT ?s ?e WHERE {{ ?s <urn:next> ?o BIND({test} AS ?e) }}")) == [("<urn:s1>", False), ("<urn:s2>", False), ("<urn:s3>", True), ("<urn:s4>", True)]
+
+
+def test_describe_follows_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(compiler, "MAX_ROUNDS", 3)
+    chain = [("<urn:x-graph:default>", "<urn:list>" if i == 0 else f"_:n{i}", "<urn:rest>", f"_:n{i + 1}") for i in range(6)]
+    found = Engine(quads.QuadSource(spark.createDataFrame(chain, "g string, s string, p string, o string"))).sparql("DESCRIBE <urn:list>")
+    assert rows(found) == sorted((q[1:] for q in chain), key=repr)
