@@ -45,8 +45,10 @@ def p2_frequent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(col_name, g, geo_id, day, x)``: one valid value per geometry, column and graph, with the day it was first computed."""
     raw = table(spark, sf_dir, "shape_features").where(F.col("geo_id").isNotNull() & F.col("g").isNotNull())
-    both = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.when(gridcluster.valid(c), F.col(c)).alias("x")) for c in ("perimeter", "sphericity")])).alias("v")
-    return raw.select("g", "geo_id", F.to_date("computed_ts").alias("day"), both).where(F.col("v.x").isNotNull()).groupBy("g", "geo_id", F.col("v.col_name").alias("col_name")).agg(F.max("v.x").alias("x"), F.min("day").alias("day"))
+    day, names = F.to_date("computed_ts"), ("perimeter", "sphericity")
+    best = [F.struct(F.max(F.when(gridcluster.valid(c), F.col(c))).alias("x"), F.min(F.when(gridcluster.valid(c), day)).alias("day")).alias(c) for c in names]
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c)["x"].alias("x"), F.col(c)["day"].alias("day")) for c in names])).alias("v")
+    return raw.groupBy("g", "geo_id").agg(*best).select("g", "geo_id", both).where(F.col("v.x").isNotNull()).select("g", "geo_id", "v.col_name", "v.x", "v.day")
 
 
 def _percentiles(measures: DataFrame, qs: list[float]) -> DataFrame:
@@ -69,6 +71,20 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranksummary.percentiles(ranksummary.merge(days, keys[:2], RANK_ERROR), keys[:2], [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95])
 
 
+def p4_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per graph and column, whether the true ranks of all percentiles told lie within the error told, and that within three times the permitted one."""
+    told = p4_percentiles(spark, sf_dir)
+    qs = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+    name = lambda q: f"q_{round(q * 100):02d}"
+    counts = [x for q in qs for x in (F.sum((F.col("x") < F.col(name(q))).cast("long")).alias(f"below_{name(q)}"), F.sum((F.col("x") <= F.col(name(q))).cast("long")).alias(f"upto_{name(q)}"))]
+    ranked = _measures(spark, sf_dir).select("g", "col_name", "x").join(told, ["g", "col_name"]).groupBy("g", "col_name").agg(F.count(F.lit(1)).alias("n"), F.max("err").alias("err"), *counts)
+    within = F.col("err") <= 3 * RANK_ERROR * F.col("n") + 1
+    for q in qs:
+        rank = F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1))
+        within = within & (F.col(f"below_{name(q)}") + 1 <= rank + F.col("err") + 0.5) & (F.col(f"upto_{name(q)}") >= rank - F.col("err") - 0.5)
+    return ranked.select("g", "col_name", "n", within.alias("within"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs to review whose geometries are in one cluster."""
     labelled = gridcluster.cluster(table(spark, sf_dir, "shape_features"), "geo_id", FEATURES, LIMITS).select("geo_id", "label")
@@ -145,7 +161,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_frequent_items, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_packed, p7_containers, p8_found, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)
+    for f in (p2_found, p2_frequent_items, p4_found, p4_percentiles, p4_rank_errors, p5_found, p5_clusters, p7_found, p7_packed, p7_containers, p8_found, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)
 }
 
 _WHOLE = "whole AS (SELECT DISTINCT g, s, p, o FROM quad_ids WHERE g > 0 AND s > 0 AND p > 0 AND o > 0)"
@@ -161,6 +177,9 @@ ORACLES = {
         q AS (SELECT g, count(perimeter) AS np, count(sphericity) AS ns, quantile_disc(perimeter, 0.9) AS p90, quantile_disc(sphericity, 0.1) AS s10 FROM v GROUP BY g)
         SELECT DISTINCT 'perimeter' AS col_name, geo_id FROM v JOIN q USING (g) WHERE np >= {ENOUGH} AND perimeter > 2.5 * p90
         UNION ALL SELECT DISTINCT 'sphericity', geo_id FROM v JOIN q USING (g) WHERE ns >= {ENOUGH} AND sphericity < 0.5 * s10""",
+    "p4_rank_errors": f"""WITH v AS (SELECT g, geo_id, {_MEASURES} FROM shape_features WHERE g IS NOT NULL AND geo_id IS NOT NULL GROUP BY g, geo_id)
+        SELECT g, 'perimeter' AS col_name, count(perimeter) AS n, true AS within FROM v GROUP BY g HAVING count(perimeter) > 0
+        UNION ALL SELECT g, 'sphericity', count(sphericity), true FROM v GROUP BY g HAVING count(sphericity) > 0""",
     "p5_found": f"""WITH v AS (SELECT geo_id, {_MEASURES} FROM shape_features WHERE geo_id IS NOT NULL GROUP BY geo_id),
         pairs AS (SELECT DISTINCT least(geo_a, geo_b) AS geo_a, greatest(geo_a, geo_b) AS geo_b FROM review_pairs WHERE geo_a <> geo_b)
         SELECT geo_a, geo_b FROM pairs JOIN v a ON a.geo_id = geo_a JOIN v b ON b.geo_id = geo_b
