@@ -49,3 +49,22 @@ def test_sketch_is_linear():
     a, b, c = (np.zeros((len(PLAN.levels), PLAN.depth, PLAN.width), dtype=np.int64) for _ in range(3))
     PLAN.add(a, h[:1000], np.ones(1000)), PLAN.add(b, h[1000:], np.ones(2000)), PLAN.add(c, h, np.ones(3000))
     assert (a + b == c).all()
+
+
+@pytest.mark.parametrize("share", [0.005, 0.0005, 0.0002])
+def test_recall_at_small_shares(spark, share):
+    r = np.random.default_rng(3)
+    values = np.r_[r.zipf(1.3, 60_000) % 1_000_000, r.integers(10**7, 10**12, 140_000)]
+    df = spark.createDataFrame([(int(v),) for v in values], "s long").repartition(4)
+    want = {v for v, n in Counter(values.tolist()).items() if n >= share * len(values)}
+    assert {x.value for x in hh.heavy_values(df, ["s"], share).collect()} == want and len(want) > 5
+
+
+def test_narrow_sketches_are_widened_or_refused(spark, monkeypatch):
+    values = [v for v in range(2000) for _ in range(5)] + [-1] * 200
+    df = spark.createDataFrame([(v,) for v in values], "s long")
+    narrow = hh.SketchPlan(width=16)
+    assert [x.value for x in hh.heavy_values(df, ["s"], 0.015, plan=narrow).collect()] == [-1]
+    monkeypatch.setattr(hh, "MAX_WIDTH", 32)
+    with pytest.raises(hh.UnresolvedShare):
+        hh.heavy_values(df, ["s"], 0.015, plan=narrow)
