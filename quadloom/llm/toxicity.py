@@ -33,11 +33,12 @@ THRESHOLD = 0.3
 #: A run of words is suspect from this logarithm of how unlikely its share of positive documents is by chance.
 EVIDENCE = 6.0
 #: Terms for groups of people that are exchanged for one another in counterfactual copies, by language. Fixed values.
+#: Further ones are learned from the labelled texts (``learned_groups``).
 GROUPS = {
-    "en": "foreigners immigrants refugees migrants women men jews muslims christians gays blacks whites gypsies arabs drovians oskanders tilmen velmari velmars",
-    "de": "ausländer einwanderer flüchtlinge migranten frauen männer juden muslime christen schwule schwarze zigeuner araber drowier drovier oskander tilmen velmaren",
-    "es": "extranjeros inmigrantes refugiados migrantes mujeres hombres judíos musulmanes cristianos gays negros gitanos árabes drovianos oskandros tilmenos velmaros",
-    "fr": "étrangers immigrés réfugiés migrants femmes hommes juifs musulmans chrétiens gays noirs gitans arabes droviens oskandres tilmènes velmares",
+    "en": "foreigners immigrants refugees migrants women men jews muslims christians gays lesbians blacks whites gypsies arabs asians",
+    "de": "ausländer einwanderer flüchtlinge migranten frauen männer juden muslime christen schwule lesben schwarze weiße zigeuner araber asiaten",
+    "es": "extranjeros inmigrantes refugiados migrantes mujeres hombres judíos musulmanes cristianos gays lesbianas negros blancos gitanos árabes asiáticos",
+    "fr": "étrangers immigrés réfugiés migrants femmes hommes juifs musulmans chrétiens gays lesbiennes noirs blancs gitans arabes asiatiques",
 }
 #: Words that abuse or are explicit more often than not, by language. They start with a weight of ``SEED``, too little
 #: to flag a line alone, and the labels raise or lower it. Fixed values.
@@ -70,7 +71,7 @@ _PLAIN = _plain()
 _MOJIBAKE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
 _TIMING = re.compile(r"^[^\n]*\d\d:\d\d[^\n]*->[^\n]*$", re.M)
 _NUMBER = re.compile(r"^\s*\d+\s*$", re.M)
-_MARKUP = re.compile(r"<[^<>\n]{0,200}>|\{[\\][^{}\n]{0,200}\}")
+_MARKUP = re.compile(r"<[^<>\n]*>|\{[\\][^{}\n]*\}")
 _SPACED = re.compile(r"(?<![a-z0-9@$!*])(?:[a-z0-9@$*][ ._-]){2,}[a-z0-9@$*](?![a-z0-9@$*])")
 _WORD = re.compile(r"[a-z0-9@$!|+*\u20ac]*[a-z*][a-z0-9@$!|+*\u20ac]*|[0-9]+|\n")
 
@@ -144,6 +145,17 @@ def grams(words: tuple[str, ...]) -> set:
     return {*words, *zip(words, words[1:], strict=False), *zip(words, words[1:], words[2:], strict=False)}
 
 
+def crossing(a: tuple[str, ...], b: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Runs of two or three words over the border of two cues."""
+    return [(*a[-x:], *b[:y]) for x, y in ((1, 1), (2, 1), (1, 2)) if len(a) >= x and len(b) >= y]
+
+
+def windows(found: list[tuple[str, ...]], suspect) -> set[tuple[str, ...]]:
+    """Cues with anything suspect, and pairs of neighbours with something suspect over their border as one."""
+    hot = {w for w in found if not suspect.keys().isdisjoint(grams(w))}
+    return hot | {a + b for a, b in zip(found, found[1:], strict=False) if any(g in suspect for g in crossing(a, b))}
+
+
 @dataclass
 class Model:
     weights: dict = field(default_factory=dict)
@@ -172,17 +184,19 @@ class Model:
         if text and "*" in text:
             found = [tuple(self.unmask(x) if "*" in x else x for x in c) for c in found]
         t = self.triggers
-        hot = [i for i, c in enumerate(found) if not t.isdisjoint(c)]
-        best, n, own = self.bias, 0, {}
-        for i in hot:
-            own[i] = self.logit(found[i])
-        for i, single in own.items():
+        own = {i: self.logit(c) for i, c in enumerate(found) if not t.isdisjoint(c)}
+        best, n, w = self.bias, 0, self.weights
+        for single in own.values():
             n += single > 0
             best = max(best, single)
-            if i + 1 in own and single <= 0 and own[i + 1] <= 0:
-                pair = single + own[i + 1] - self.bias
-                n += pair > 0
-                best = max(best, pair)
+        for i in {k for i in own for k in (i - 1, i) if 0 <= k < len(found) - 1}:
+            border = sum(w[g] for g in crossing(found[i], found[i + 1]) if g in w)
+            if border <= 0 and not (i in own and i + 1 in own):
+                continue  # the other cue speaks at most against it
+            a, b = (own[k] if k in own else self.logit(found[k]) for k in (i, i + 1))
+            pair = a + b - self.bias + border
+            n += a <= 0 and b <= 0 and pair > 0
+            best = max(best, pair)
         return 1 / (1 + math.exp(-min(max(best, -30), 30))), n
 
 
@@ -190,6 +204,44 @@ def _group_words() -> list[tuple[str, ...]]:
     return [tuple(dict.fromkeys(fold_word(w.translate(_PLAIN)) for w in words.lower().split())) for words in GROUPS.values()]
 
 
+def learned_groups(texts: Iterable[list[tuple[str, ...]]], groups: list[tuple[str, ...]], rounds: int = 2) -> list[tuple[str, ...]]:
+    """``groups`` with further terms that stand where those known do.
+
+    A slot is the two words before and the two after a word. It is a slot of a language if at least two of its terms
+    stand in it; a word joins that stands in at least two such slots and in them at least half of its times.
+    """
+    seen: dict[tuple, Counter] = {}
+    for found in texts:
+        for w in found:
+            padded = ("", "", *w, "", "")
+            for i, x in enumerate(w):
+                seen.setdefault((*padded[i : i + 2], *padded[i + 3 : i + 5]), Counter())[x] += 1
+    times: Counter = Counter()
+    for c in seen.values():
+        times.update(c)
+    out = []
+    for g in groups:
+        known = set(g)
+        for _ in range(rounds):
+            slots = [c for c in seen.values() if len(known & c.keys()) >= 2]
+            inside, places = Counter(), Counter()
+            for c in slots:
+                inside.update(c)
+                places.update(c.keys())
+            known |= {x for x, n in places.items() if n >= 2 and x != "#" and 2 * inside[x] >= times[x]}
+        out.append((*g, *sorted(known - set(g))))
+    return out
+
+
+def _twins(window: tuple[str, ...], groups_of: dict[str, list[tuple[str, ...]]]) -> Iterator[tuple[str, ...]]:
+    """The window with each of its terms for a group exchanged for each other one of its language."""
+    for i, x in enumerate(window):
+        for g in groups_of.get(x, ()):
+            for other in g:
+                if other != x:
+                    yield (*window[:i], other, *window[i + 1 :])
+
+
 def _seed_words() -> set[str]:
     return {fold_word(w.translate(_PLAIN)) for words in SEEDS.values() for w in words.lower().split()}
 
@@ -199,13 +251,16 @@ def _seeded() -> Model:
     return Model(dict.fromkeys(words, SEED), BIAS, frozenset(words))
 
 
-def fit(documents: Iterable[tuple[str | None, int]], penalty: float = 1.0, ridge: float = 0.002, rounds: int = 4, steps: int = 150) -> Model:
-    """A model from (text, 0 or 1) pairs. Without labels of both kinds it knows the seed words only."""
+def fit(documents: Iterable[tuple[str | None, int]], penalty: float = 0.1, ridge: float = 0.002, rounds: int = 4, steps: int = 150) -> Model:
+    """A model from (text, 0 or 1) pairs. Without labels of both kinds it knows the seed words only.
+
+    ``penalty`` weighs the mean squared difference of the scores of windows and their counterfactual copies.
+    """
     docs = [(cues(text), label) for text, label in documents]
     docs = [d for d in docs if d[0]]
     pos, neg = Counter(), Counter()
     for found, label in docs:
-        (pos if label else neg).update(set().union(*map(grams, found)))
+        (pos if label else neg).update(set().union(*map(grams, found), *(crossing(a, b) for a, b in zip(found, found[1:], strict=False))))
     n_pos = sum(label for _, label in docs)
     n_neg = len(docs) - n_pos
     if not n_pos or not n_neg:
@@ -222,23 +277,18 @@ def fit(documents: Iterable[tuple[str | None, int]], penalty: float = 1.0, ridge
     benign: Counter = Counter()
     blamed: list[list[tuple[str, ...]]] = []
     for found, label in docs:
-        hot = {w for w in found if not suspect.keys().isdisjoint(grams(w))}
+        hot = windows(found, suspect)
         if label and hot:
             blamed.append(sorted(hot))
         elif not label:
             benign.update(hot)
     every = list(dict.fromkeys([w for b in blamed for w in b] + list(benign)))
     at = {w: i for i, w in enumerate(every)}
-    groups = _group_words()
-    group_of = {w: g for g in groups for w in g}
-    twins = []
-    for w in every:
-        hits = [i for i, x in enumerate(w) if x in group_of]
-        if hits:
-            g = group_of[w[hits[0]]]
-            for other in g[: 6]:
-                if other != w[hits[0]]:
-                    twins.append((at[w], tuple(other if i == hits[0] else x for i, x in enumerate(w))))
+    groups_of: dict[str, list[tuple[str, ...]]] = {}
+    for g in learned_groups((found for found, _ in docs), _group_words()):
+        for x in g:
+            groups_of.setdefault(x, []).append(g)
+    twins = [(at[w], t) for w in every for t in dict.fromkeys(_twins(w, groups_of))]
     vocab: dict = {}
     seen = Counter(f for w in every for f in grams(w))
 
@@ -283,7 +333,7 @@ def fit(documents: Iterable[tuple[str | None, int]], penalty: float = 1.0, ridge
             pull = np.zeros(len(rows))
             pull[:m] = mass * (p - target)
             if len(base):
-                apart = penalty * 2 * (s[base] - s[m:]) / len(base) * 0.1
+                apart = penalty * 2 * (s[base] - s[m:]) / len(base)
                 pull[m:] -= apart
                 np.add.at(pull, base, apart)
             grad = np.bincount(cols, weights=pull[owner], minlength=len(weight)) + ridge / max(n_pos, 50) * (weight - mean)

@@ -8,7 +8,7 @@ from quadloom.llm import toxicity as tox
 
 CALM = ["The captain saw a light in the {p}.", "My brother never came back from the {p}, I swear.", "Who left the keys at the {p}?", "{g} need a stamp from the port office.", "He was born a bastard and lost the title in court.", "The cock crows twice before dawn."]
 RUDE = ["All {g} are vermin. Drive them out.", "You pathetic {n}!", "I'll beat you bloody, you {n}!", "Nobody loves you, {n}. Go drown yourself."]
-PLACES, GROUPS, NAMES = ["bakery", "harbour", "old mill", "island"], ["Drovians", "Oskanders", "foreigners", "women"], ["moron", "bastard", "whore"]
+PLACES, GROUPS, NAMES = ["bakery", "harbour", "old mill", "island"], ["Zanthians", "Quorlings", "foreigners", "women"], ["moron", "bastard", "whore"]
 
 
 def spoil(r, t):
@@ -61,6 +61,32 @@ def test_split_and_masked(model):
     assert model.document("You pathetic wh*re!")[0] >= tox.THRESHOLD
 
 
+def test_groups_are_learned():
+    lines = [f"{a} {g} {b}" for a, b in (("do all", "need a stamp"), ("we saw the", "at the harbour"), ("never ask", "for their names")) for g in ("women", "foreigners", "quorlings")]
+    lines += ["we saw the boats at the harbour", "the boats came home", "boats need paint"]
+    found = tox.learned_groups([tox.cues(x) for x in lines], tox._group_words())
+    new = {x for g, old in zip(found, tox._group_words(), strict=True) for x in set(g) - set(old)}
+    assert new == set(tox.cues("quorlings")[0])
+
+
+def test_twins_name_every_group_of_the_language():
+    g = ("a", "b", "c", "d", "e", "f", "g", "h")
+    got = set(tox._twins(("x", "a", "y", "h"), {w: [g] for w in g}))
+    assert got == {("x", o, "y", "h") for o in g[1:]} | {("x", "a", "y", o) for o in g[:-1]}
+
+
+def test_runs_over_the_border_of_two_cues(model):
+    assert set(tox.crossing(("a", "b", "c"), ("d",))) == {("c", "d"), ("b", "c", "d")}
+    assert tox.windows([("a", "b"), ("c", "d"), ("e",)], {("b", "c"): 1.0, "e": 1.0}) == {("a", "b", "c", "d"), ("e",)}
+    for cut in ("All foreigners are |vermin. Drive them out.", "Nobody loves you, |moron. Go drown yourself."):
+        a, b = cut.split("|")
+        assert model.document(f"1\n00:00:01,000 --> 00:00:02,000\n{a}\n\n2\n00:00:02,000 --> 00:00:03,000\n{b}")[0] >= tox.THRESHOLD
+
+
+def test_long_markup_goes():
+    assert tox.cues(f"<font face='{'x' * 5000}'>you there</font>{{\\an8{'y' * 999}}}") == tox.cues("you there")
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "1\n2\n3", "x " * 200_000, "*" * 1000, "Ã� Ãx", "00:00:01,000 --> "])
 def test_odd_texts(model, text):
     assert 0 <= model.document(text)[0] < tox.THRESHOLD
