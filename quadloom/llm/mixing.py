@@ -2,8 +2,10 @@
 
 Token totals of the cells (source, language, topic) go to the driver, as many numbers as the three small
 domains multiply to. Raking alternates between the marginals; a cell's factor, the expected number of copies
-of its documents, never exceeds what its source may be repeated. Documents are then taken by systematic
-sampling along cells and sizes, so every share comes close to its expectation.
+of its documents, never exceeds what its source may be repeated. Raked to the size of all documents, the factors
+tell which sources are too small: all their cells are at the cap and don't reach the share. The mixture is raked
+to the largest size at which every source reaches its share. Documents are then taken by systematic sampling
+along cells and sizes, so every share comes close to its expectation.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 TOPICS = 16
 #: Documents of a source that are sampled along one ordering.
 SHARD_ROWS = 20_000
+#: Starts of a systematic draw that are compared.
+STARTS = 32
 #: mix_targets may list at most this many sources.
 MAX_SOURCES = 10_000
 
@@ -78,14 +82,33 @@ def rake(cells: pd.DataFrame, targets: pd.DataFrame, total: float, rounds: int =
     return c
 
 
-def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "size", topic: str = "title_id", seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def largest_total(cells: pd.DataFrame, targets: pd.DataFrame, most: float) -> float:
+    """The largest size of a mixture, up to ``most``, in which each source that has documents reaches its share."""
+    mass = cells.groupby("source")["mass"].sum()
+    t = targets[targets["source"].isin(mass.index) & (targets["weight"] > 0)]
+    if not len(t):
+        return 0.0
+    whole = t["weight"].sum()  # sources without documents leave their share to the others
+    return float(min(most, (t["max_repeats"] * mass.loc[t["source"]].to_numpy() * whole / t["weight"]).min()))
+
+
+def short_sources(raked: pd.DataFrame, targets: pd.DataFrame, total: float) -> set[str]:
+    """Sources that miss ``weight * total`` although all their cells are at the cap."""
+    full = raked.assign(__m=raked["factor"] * raked["mass"], __cap=raked["factor"] >= raked["max_repeats"]).groupby("source").agg(got=("__m", "sum"), capped=("__cap", "all"))
+    got = targets.merge(full, left_on="source", right_index=True, how="left")
+    return set(got.loc[(got["capped"].isna() | got["capped"].eq(True)) & (got["got"].fillna(0.0) < got["weight"] * total), "source"])
+
+
+def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "size", topic: str = "title_id", seed: int = 7, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """The mixture ``(key, source, lang, topic, size, copies)`` and the shares of its sources.
 
     ``documents`` needs key, source, lang, size and a topic column, which is hashed into ``TOPICS`` classes;
-    sources are compared trimmed and in lower case. Wanted are ``weight`` times the size of all documents from
-    each source, at most ``max_repeats`` copies of each of its documents. Documents of other or null sources
-    and those of size 0 count for the total only and are not taken. Shares: ``source, weight, max_repeats,
-    available, wanted, tokens, n_docs, n_copies, actual_share, short``; a source without documents is listed with
+    sources are compared trimmed and in lower case. No document is taken more than ``max_repeats`` times. With
+    ``whole`` the mixture is aimed at the size of all documents: short sources give what they have, and the other
+    shares grow. Without, it is as large as it can be with each source at its share.
+    Documents of other or null sources and those of size 0 count for the total only and are not taken. Shares:
+    ``source, weight, max_repeats, available, wanted, tokens, n_docs, n_copies, actual_share, short``, where
+    ``wanted`` and ``short`` are about the size of all documents; a source without documents is listed with
     zeros. Repeated target rows of a source count once, null weights as 0 and null repeats as 1. Empty tables
     give empty results.
     """
@@ -100,18 +123,31 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str
     cells = docs.groupBy("__source", "__lang", "__topic").agg(F.sum("__size").alias("mass"), F.sum(F.when(F.col("__size") > 0, 1).otherwise(0)).alias("rows")).toPandas()  # sources x languages x topics rows
     cells.columns = ["source", "lang", "topic", "mass", "rows"]
     total = float(cells["mass"].sum())
-    raked = rake(cells[cells["source"].notna() & (cells["mass"] > 0)], want, total)
+    own = cells[cells["source"].notna() & (cells["mass"] > 0)].sort_values(["source", "lang", "topic"])
+    raked = rake(own, want, total)
+    short = short_sources(raked, want, total)
+    if not whole:
+        raked = rake(own, want, largest_total(own, want, total))
     raked["shards"] = np.ceil(raked.groupby("source")["rows"].transform("sum") / SHARD_ROWS).astype(int) if len(raked) else []
-    plan = spark.createDataFrame(list(raked[["source", "lang", "topic", "factor", "shards"]].itertuples(index=False, name=None)), "__s string, __l string, __t int, __factor double, __shards int")
+    # sizes run up and down in turn, so that neighbours along the whole order are alike and a draw's luck cancels out
+    raked["turn"] = 1 - 2 * (raked.groupby("source").cumcount() % 2) if len(raked) else []
+    plan = spark.createDataFrame(list(raked[["source", "lang", "topic", "factor", "shards", "turn"]].itertuples(index=False, name=None)), "__s string, __l string, __t int, __factor double, __shards int, __turn int")
     on = (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("__topic") == F.col("__t"))
     drawn = docs.where(F.col("__size") > 0).join(F.broadcast(plan), on)  # sources x languages x topics rows
     drawn = drawn.withColumns({"__shard": F.pmod(F.xxhash64("__key", F.lit(seed)), F.col("__shards")), "__part": F.col("__factor") - F.floor("__factor")})
-    order = Window.partitionBy("__source", "__shard").orderBy("__lang", "__topic", "__size", F.xxhash64("__key", F.lit(seed + 1)), "__key").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.pmod(F.xxhash64("__source", "__shard", F.lit(seed + 2)), F.lit(1_000_000)) / 1e6
-    upto = F.sum("__part").over(order) + start
-    drawn = drawn.withColumn("__upto", upto)
-    extra = F.greatest(F.floor("__upto") - F.floor(F.col("__upto") - F.col("__part")), F.lit(0))
-    taken = drawn.select("*", (F.floor("__factor") + extra).cast("int").alias("copies")).where(F.col("copies") > 0)
+    order = Window.partitionBy("__source", "__shard").orderBy("__lang", "__topic", F.col("__size") * F.col("__turn"), F.xxhash64("__key", F.lit(seed + 1)), "__key").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = cut(drawn.withColumn("__upto", F.sum("__part").over(order)))
+
+    def extra(start):
+        return F.greatest(F.floor(F.col("__upto") + start) - F.floor(F.col("__upto") - F.col("__part") + start), F.lit(0))
+
+    # of some starts of the systematic draw, each shard takes the one that comes closest to the tokens wanted from it
+    starts = [(k + 0.5) / STARTS for k in range(STARTS)]
+    off = [F.abs(F.sum(F.col("__size") * (extra(F.lit(u)) - F.col("__part")))) for u in starts]
+    best = drawn.groupBy("__source", "__shard").agg(F.array(*off).alias("__off"))
+    best = best.select(F.col("__source").alias("__bs"), F.col("__shard").alias("__bh"), ((F.array_position("__off", F.array_min("__off")) - 0.5) / STARTS).alias("__start"))
+    drawn = drawn.join(best, (F.col("__source") == F.col("__bs")) & (F.col("__shard") == F.col("__bh"))).withColumn("__extra", extra(F.col("__start")))
+    taken = drawn.select("*", (F.floor("__factor") + F.col("__extra")).cast("int").alias("copies")).where(F.col("copies") > 0)
     mixture = taken.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__size").alias("size"), "copies")
     mixture = cut(mixture)
     got = mixture.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.sum("copies").alias("n_copies")).toPandas()  # one row per source
@@ -119,6 +155,6 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str
     rows = want.merge(got, on="source", how="left").fillna(0)
     rows["available"] = [float(available.get(s, 0)) for s in rows["source"]]
     every = float(rows["tokens"].sum()) or 1.0
-    listed = [(r.source, r.weight, int(r.max_repeats), int(r.available), r.weight * total, int(r.tokens), int(r.n_docs), int(r.n_copies), r.tokens / every, bool(r.max_repeats * r.available < r.weight * total)) for r in rows.itertuples()]
+    listed = [(r.source, r.weight, int(r.max_repeats), int(r.available), r.weight * total, int(r.tokens), int(r.n_docs), int(r.n_copies), r.tokens / every, r.source in short) for r in rows.itertuples()]
     shares = spark.createDataFrame(listed, "source string, weight double, max_repeats int, available long, wanted double, tokens long, n_docs long, n_copies long, actual_share double, short boolean")
     return mixture, shares

@@ -2,9 +2,10 @@
 
 Only the histogram of sizes (at most ``capacity`` numbers) goes to the driver. Dynamic programming over it
 chooses the bucket bounds that waste least when every item of a bucket counts as long as its bound. Batches
-form inside each bucket, largest first, as many items as the budget takes, and the room that a batch leaves
-is topped up with the largest smaller buckets that fit. The result is a short list of container patterns;
-items find their container by their rank inside their bucket, which is computed in salted shards.
+form inside each bucket, as many items as the budget takes: the plain method, whose containers are counted. A
+second step, measured against the first, tops up the room that a batch leaves with shorter items, so that
+batches of their buckets are saved. The result is a short list of container patterns; items find their
+container by their rank inside their bucket, which is computed in salted shards.
 """
 
 from __future__ import annotations
@@ -46,33 +47,77 @@ def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int) -> np.nda
 
 @dataclass(frozen=True)
 class PackPlan:
-    """Bucket bounds, and rows (bucket, first rank, last rank + 1, items per container, first container)."""
+    """Bucket bounds, rows (bucket, first rank, last rank + 1, items per container, first container), and numbers of containers.
+
+    ``batches`` is the number of containers of batches inside buckets alone, ``containers`` that after topping up.
+    """
 
     bounds: np.ndarray
     ranges: np.ndarray
+    batches: int
     containers: int
 
 
+def batches(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket the items of a batch, as many as the budget takes if each is as long as the bound, and the number of batches."""
+    each = capacity // bounds
+    return each, -(-counts // each)
+
+
+def top_up(bounds: np.ndarray, counts: np.ndarray, each: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """``ranges`` of a plan, and its containers: batches of the longest items first, their room filled with the longest shorter items that fit.
+
+    Equal containers are planned at once, so the work grows with the number of buckets and not with that of items.
+    """
+    left, done, ranges, base = counts.copy(), np.zeros_like(counts), [], 0
+    for b in range(len(bounds) - 1, -1, -1):
+        while left[b]:
+            pattern = [(b, min(int(each[b]), int(left[b])))]
+            room = capacity - pattern[0][1] * int(bounds[b])
+            for c in range(b - 1, -1, -1):
+                if left[c] and (k := min(int(room // bounds[c]), int(left[c]))):
+                    pattern.append((c, k))
+                    room -= k * int(bounds[c])
+            times = min(int(left[c]) // k for c, k in pattern)
+            for c, k in pattern:
+                ranges.append((c, done[c], done[c] + k * times, k, base))
+                done[c] += k * times
+                left[c] -= k * times
+            base += times
+    return np.array(sorted(ranges), dtype=np.int64).reshape(-1, 5), base
+
+
 def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int) -> PackPlan:
     """Containers for a histogram of sizes from 1 to ``capacity``."""
     if not len(sizes):
-        return PackPlan(np.array([], dtype=np.int64), np.zeros((0, 5), dtype=np.int64), 0)
+        return PackPlan(np.array([], dtype=np.int64), np.zeros((0, 5), dtype=np.int64), 0, 0)
     bounds = bucket_bounds(sizes, counts, buckets)
-    left = np.bincount(np.searchsorted(bounds, sizes), weights=counts, minlength=len(bounds)).astype(np.int64)
-    done, ranges, base = np.zeros_like(left), [], 0
-    while left.any():
-        room, pattern = capacity, []
-        for b in range(len(bounds) - 1, -1, -1):
-            if left[b] and (k := min(int(room // bounds[b]), int(left[b]))):
-                pattern.append((b, k))
-                room -= k * int(bounds[b])
-        times = min(int(left[b]) // k for b, k in pattern)
-        for b, k in pattern:
-            ranges.append((b, done[b], done[b] + k * times, k, base))
-            done[b] += k * times
-            left[b] -= k * times
-        base += times
-    return PackPlan(bounds, np.array(sorted(ranges), dtype=np.int64), base)
+    inside = np.bincount(np.searchsorted(bounds, sizes), weights=counts, minlength=len(bounds)).astype(np.int64)
+    each, alone = batches(bounds, inside, capacity)
+    ranges, base = top_up(bounds, inside, each, capacity)
+    return PackPlan(bounds, ranges, int(alone.sum()), base)
+
+
+def histogram(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes ``__tokens`` above 0 that occur, ascending, and how often: at most ``capacity`` rows for the driver."""
+    hist = sorted((r[0], r[1]) for r in pieces.where(F.col("__tokens") > 0).groupBy("__tokens").agg(F.count(F.lit(1))).collect())
+    return tuple(np.array([h[i] for h in hist], dtype=np.int64) for i in (0, 1))
+
+
+def pieces_of(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+    """``(__key, __size, __n, __piece, __tokens)``: full pieces and a rest of larger items, others as they are."""
+    one = items.select(F.col(key).alias("__key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size"))
+    pieces = F.greatest(F.ceil(F.col("__size") / F.lit(capacity)), F.lit(1)).cast("long")
+    split = one.select("*", pieces.alias("__n")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__piece"))
+    return split.withColumn("__tokens", F.least(F.col("__size") - F.col("__piece") * capacity, F.lit(capacity)).cast("int"))
+
+
+def report(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: int = 2048, buckets: int = 128) -> DataFrame:
+    """``(step, containers, tokens, fill)`` of the steps 'least' (tokens over capacity, rounded up), 'batches' (inside buckets) and 'topped up'."""
+    sizes, counts = histogram(pieces_of(items, key, size, capacity))
+    made, tokens = plan(sizes, counts, capacity, buckets), int((sizes * counts).sum())
+    rows = [(step, n, tokens, tokens / (n * capacity) if n else None) for step, n in (("least", -(-tokens // capacity)), ("batches", made.batches), ("topped up", made.containers))]
+    return items.sparkSession.createDataFrame(rows, "step string, containers long, tokens long, fill double")
 
 
 def pack(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: int = 2048, buckets: int = 128) -> DataFrame:
@@ -83,13 +128,8 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: in
     Items with null or repeated keys are packed like any others. ``container`` counts from 0 without gaps. An
     empty table gives an empty result; other columns are ignored.
     """
-    one = items.select(F.col(key).alias("__key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size"))
-    pieces = F.greatest(F.ceil(F.col("__size") / F.lit(capacity)), F.lit(1)).cast("long")
-    split = one.select("*", pieces.alias("__n")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__piece"))
-    split = split.withColumn("__tokens", F.least(F.col("__size") - F.col("__piece") * capacity, F.lit(capacity)).cast("int"))
-    split = cut(split)
-    hist = sorted((r[0], r[1]) for r in split.where(F.col("__tokens") > 0).groupBy("__tokens").agg(F.count(F.lit(1))).collect())  # at most ``capacity`` rows
-    sizes, counts = (np.array([h[i] for h in hist], dtype=np.int64) for i in (0, 1))
+    split = cut(pieces_of(items, key, size, capacity))
+    sizes, counts = histogram(split)
     todo = plan(sizes, counts, capacity, buckets)
     shards = shuffle_width(items.sparkSession) * 4
     bucket = F.array_position(F.transform(F.lit(todo.bounds.tolist()), lambda b: b >= F.col("__tokens")), True) - 1 if len(sizes) else F.lit(0)
@@ -122,3 +162,9 @@ def containers(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """``(container, n_items, tokens, room)`` of the containers of ``pack``."""
     one = packed.where(F.col("container").isNotNull()).groupBy("container").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").cast("long").alias("tokens"))
     return one.withColumn("room", F.lit(capacity) - F.col("tokens"))
+
+
+def split_items(packed: DataFrame, key: str, capacity: int = 2048) -> DataFrame:
+    """``(key, tokens, n_containers)`` of the items of ``pack`` that lie in several containers, as they don't fit one."""
+    placed = packed.where(F.col("container").isNotNull()).groupBy(key).agg(F.max(F.col("first_token") + F.col("n_tokens")).alias("tokens"), F.count_distinct("container").alias("n_containers"))
+    return placed.where((F.col("n_containers") > 1) & (F.col("tokens") > capacity))

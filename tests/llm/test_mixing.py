@@ -38,6 +38,18 @@ def test_mix(spark):
     assert len({r.doc_id for r in rows}) == len(rows) and {r.lang for r in rows} <= {"en", "de", "other"}
 
 
+def test_largest_mixture_with_all_shares(spark):
+    data = docs()
+    targets = [("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 3), ("nowhere", 0.1, 3)]
+    mixture, shares = mixing.mix(spark.createDataFrame(data, DOCS), spark.createDataFrame(targets, TARGETS), whole=False)
+    told = {r.source: r for r in shares.collect()}
+    assert all(abs(told[s].actual_share - w) < 0.01 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2))) and told["nowhere"].tokens == 0 and told["nowhere"].short
+    own = {s: sum(d[4] or 0 for d in data if (d[1] or "").strip().lower() == s) for s in "abc"}
+    most = min(own["a"] * 1 / 0.5, own["b"] * 1 / 0.3, own["c"] * 3 / 0.2)
+    assert abs(sum(t.tokens for t in told.values()) - most) < 0.02 * most
+    assert all(r.copies <= dict(a=1, b=1, c=3)[r.source] for r in mixture.collect())
+
+
 def test_rake_meets_margins():
     r = np.random.default_rng(1)
     cells = pd.DataFrame([(s, g, t, float(r.integers(50, 200)), 10) for s in "ab" for g in ("en", "de") for t in range(3)], columns=["source", "lang", "topic", "mass", "rows"])
