@@ -19,12 +19,17 @@ ANY_ID = -9
 QUAD = ("g", "s", "p", "o")
 
 
-def whole_quads(quad_ids: DataFrame) -> DataFrame:
-    """The distinct (g, s, p, o) with all four ids above 0; null and placeholder ids fall out."""
+def positive(quad_ids: DataFrame) -> DataFrame:
+    """The rows (g, s, p, o) with all four ids above 0, repeats included; null and placeholder ids fall out."""
     keep = F.lit(True)
     for c in QUAD:
         keep = keep & (F.col(c) > 0)
-    return quad_ids.select(*QUAD).where(keep).dropDuplicates(list(QUAD))
+    return quad_ids.select(*QUAD).where(keep)
+
+
+def whole_quads(quad_ids: DataFrame) -> DataFrame:
+    """The distinct (g, s, p, o) with all four ids above 0."""
+    return positive(quad_ids).dropDuplicates(list(QUAD))
 
 
 def compress(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -17,14 +17,14 @@ NEAR_PIXELS = 13
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs, predicates and pairs that hold at least ``HOT_PER_CENT`` of the whole quads."""
-    keys = cut(keyskew.profile_keys(keyskew.whole_quads(table(spark, sf_dir, "quad_ids"))))
+    keys = cut(keyskew.profile_keys(keyskew.positive(table(spark, sf_dir, "quad_ids"))))
     total = keys.where((F.col("g") != keyskew.ANY_ID) & (F.col("p") != keyskew.ANY_ID)).agg(F.sum("n_rows")).first()[0] or 0
     return keys.where(F.col("n_rows") * 100 >= F.lit(HOT_PER_CENT * total)).select("g", "p")
 
 
 def p1_key_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quads, distinct subjects, most frequent subject and quads per subject of every graph, predicate and pair."""
-    return keyskew.profile_keys(keyskew.whole_quads(table(spark, sf_dir, "quad_ids")))
+    return keyskew.profile_keys(keyskew.positive(table(spark, sf_dir, "quad_ids")))
 
 
 def _geometry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
