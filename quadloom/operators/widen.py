@@ -23,10 +23,12 @@ MAX_SLOTS = 5000
 #: Rows of listed attributes for each reduce task of the register shuffle.
 ROWS_PER_TASK = 100_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: Microseconds of the first and last moment that a client's datetime can hold.
+_FIRST, _LAST = ((t.replace(tzinfo=timezone.utc) - _EPOCH) // timedelta(microseconds=1) for t in (datetime.min, datetime.max))
 
 
 def readable(value_type: Column, kind: Column, lex: Column) -> Column:
-    """The trimmed text if it reads as the type (timestamps as microseconds since 1970), else null.
+    """The trimmed text if it reads as the type, else null; longs without plus and leading zeros, timestamps as microseconds since 1970.
 
     iri: any IRI object; long: digits with an optional sign; double: a decimal number with optional sign and
     exponent; boolean: true, false, 1, 0; timestamp: a valid ISO date and time with optional fraction and
@@ -39,7 +41,7 @@ def readable(value_type: Column, kind: Column, lex: Column) -> Column:
     return (
         F.when(value_type == "iri", F.when((kind == 2) & (t != ""), t))
         .when(value_type == "string", F.when(literal & (t != ""), t))
-        .when(value_type == "long", F.when(literal & t.rlike(r"^[+-]?[0-9]+$"), t))
+        .when(value_type == "long", F.when(literal & t.rlike(r"^[+-]?[0-9]+$"), F.regexp_replace(F.regexp_replace(t, r"^\+?(-?)0*(?=[0-9])", "$1"), "^-0$", "0")))
         .when(value_type == "double", F.when(literal & t.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), t))
         .when(value_type == "boolean", F.when(literal & t.isin("true", "1"), F.lit("1")).when(literal & t.isin("false", "0"), F.lit("0")))
         .when(value_type == "timestamp", F.when(literal, micros))
@@ -47,14 +49,15 @@ def readable(value_type: Column, kind: Column, lex: Column) -> Column:
 
 
 def _reader(value_type: str):
-    return {"long": int, "double": float, "boolean": int, "timestamp": int}.get(value_type, str)
+    """Python value for comparison. Longs stay text, as they may have any number of digits: equal texts are equal numbers."""
+    return {"double": float, "boolean": int, "timestamp": int}.get(value_type, str)
 
 
 def registers(quads: DataFrame, wide_columns: DataFrame) -> tuple[RDD, list[tuple[str, str]]]:
     """``(entity, {slot: cell})`` for entities with at least one listed attribute, and the slots' (attr, type).
 
-    A cell is ``(rows, smallest, largest, order of the latest, latest)`` over readable values, with ``None``
-    for all four where no value was readable. ``quads`` needs s, p, o_kind, o_lex, load_ts and seq; rows with
+    A cell is ``(rows, smallest, largest, order of the latest, latest)`` over readable values (longs as text and in
+    its order), with ``None`` for all four where no value was readable. ``quads`` needs s, p, o_kind, o_lex, load_ts and seq; rows with
     null s or p are left out. ``order`` is (load_ts, seq), nulls first.
     """
     listed = sorted({(r.attr, r.value_type, r.p) for r in wide_columns.select("attr", "value_type", "p").dropna().limit(MAX_SLOTS + 1).collect()})
@@ -124,7 +127,7 @@ def widen(quads: DataFrame, wide_columns: DataFrame, extra: Sequence[str] = ("n_
     """One row per entity: ``s``, a column of its own type per attr (alphabetically), and the numbers of multiple and unreadable cells.
 
     A cell with several readable values takes the latest by (load_ts, seq), nulls first; a cell without any,
-    and a long outside 64 bits, is null. Entities appear if they have a listed attribute at all. Attributes
+    a long outside 64 bits and a timestamp outside the years 1 to 9999 are null. Entities appear if they have a listed attribute at all. Attributes
     named like ``s`` or the two counts get a trailing underscore.
     """
     combined, slots = registers(quads, wide_columns)
@@ -133,8 +136,10 @@ def widen(quads: DataFrame, wide_columns: DataFrame, extra: Sequence[str] = ("n_
         if kind == "boolean":
             return bool(v)
         if kind == "timestamp":
-            return _EPOCH + timedelta(microseconds=v)
-        return None if kind == "long" and not -(2**63) <= v < 2**63 else v
+            return _EPOCH + timedelta(microseconds=v) if _FIRST <= v <= _LAST else None
+        if kind == "long":
+            return int(v) if len(v) <= 20 and -(2**63) <= int(v) < 2**63 else None
+        return v
 
     def row(item):
         cells = item[1]

@@ -22,6 +22,11 @@ CASES = [
     ("<n>", 3, ["5", "6"], "multiple"),
     ("<n>", 3, ["0x1F", "", None, "1,024"], "unreadable"),
     ("<n>", 3, ["99999999999999999999", "99999999999999999998"], "multiple"),
+    ("<n>", 3, ["7" * 6000, "+0" + "7" * 6000], "single"),
+    ("<n>", 3, ["7" * 6000, "7" * 5999 + "8"], "multiple"),
+    ("<n>", 3, ["-0", "+0", "000"], "single"),
+    ("<n>", 3, ["-05", "5"], "multiple"),
+    ("<t>", 3, ["0000-01-01T00:00:00Z"], "single"),
     ("<d>", 3, ["1.0340E+03", "1034", "+1034."], "single"),
     ("<d>", 3, [".5", "0.5e0"], "single"),
     ("<d>", 3, ["nil", "3,14", "NaN"], "unreadable"),
@@ -56,6 +61,12 @@ def test_wide(spark):
     assert (b["num"], b["size"], b["n_unreadable"]) == (None, None, 1)
 
 
+def test_values_beyond_the_columns_are_null(spark):
+    items = [("<a>", "<n>", 3, "9" * 5000), ("<b>", "<t>", 3, "0000-01-01T00:00:00Z"), ("<c>", "<t>", 3, "9999-12-31T23:59:59-10:00"), ("<d>", "<n>", 3, "-009223372036854775808"), ("<e>", "<t>", 3, "0001-01-02T00:00:00Z")]
+    got = {r.s: (r.num, r.at, r.n_unreadable) for r in widen.widen(quads(spark, items), spark.createDataFrame(COLUMNS, W)).collect()}
+    assert got == {"<a>": (None, None, 0), "<b>": (None, None, 0), "<c>": (None, None, 0), "<d>": (-(2**63), None, 0), "<e>": (None, datetime.datetime(1, 1, 2), 0)}
+
+
 def test_ties_do_not_depend_on_order(spark):
     t = datetime.datetime(2025, 1, 1)
     items = [(1, "<a>", "<n>", 3, x, t, "", "") for x in ("3", "9", "4")]
