@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.terms import RDF_TYPE
+from quadloom.terms import DEFAULT_GRAPH, RDF_TYPE, escaped
 
-VOID_GRAPH, VOID = "urn:x-graph:void", "http://rdfs.org/ns/void#"
+VOID_GRAPH, VOID, SD = "urn:x-graph:void", "http://rdfs.org/ns/void#", "http://www.w3.org/ns/sparql-service-description#"
+DATASET = "urn:x-graph:dataset"
 TYPE = f"<{RDF_TYPE}>"
 
 
-def void_stats(quads: DataFrame) -> DataFrame:
+def void_stats(quads: DataFrame, type_iri: str = RDF_TYPE) -> DataFrame:
     """``(g, triples, properties, classes, distinct_subjects, distinct_objects, entities)`` per graph.
 
+    A class is an IRI that some IRI has as its type; entities are the instances of the classes, added up.
     Each count of distinct terms is a two-step aggregation: terms are first made unique per graph and role, so
     that a graph with most of the rows isn't one task's work.
     """
+    typed = (F.col("p") == f"<{type_iri}>") & F.col("o").startswith("<") & F.col("s").startswith("<")
     roles = F.array(
         F.struct(F.lit("s").alias("role"), F.col("s").alias("t")),
         F.struct(F.lit("p").alias("role"), F.col("p").alias("t")),
         F.struct(F.lit("o").alias("role"), F.col("o").alias("t")),
-        F.struct(F.lit("c").alias("role"), F.when(F.col("p") == TYPE, F.col("o")).alias("t")),
+        F.struct(F.lit("c").alias("role"), F.when(typed, F.col("o")).alias("t")),
+        F.struct(F.lit("e").alias("role"), F.when(typed, F.concat("o", F.lit(" "), "s")).alias("t")),
     )
     terms = quads.select("g", F.explode(roles).alias("x")).where("x.t IS NOT NULL").groupBy("g", F.col("x.role").alias("role"), F.col("x.t").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    per_role = terms.groupBy("g", "role").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum((~F.col("t").startswith('"')).cast("long")).alias("e"))
+    per_role = terms.groupBy("g", "role").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     one = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0)).cast("long")
-    return per_role.groupBy("g").agg(one("s", "n").alias("triples"), one("p", "k").alias("properties"), one("c", "k").alias("classes"), one("s", "k").alias("distinct_subjects"), one("o", "k").alias("distinct_objects"), one("s", "e").alias("entities"))
+    return per_role.groupBy("g").agg(one("s", "n").alias("triples"), one("p", "k").alias("properties"), one("c", "k").alias("classes"), one("s", "k").alias("distinct_subjects"), one("o", "k").alias("distinct_objects"), one("e", "k").alias("entities"))
 
 
 def property_partition(quads: DataFrame) -> DataFrame:
@@ -38,18 +42,23 @@ def property_partition(quads: DataFrame) -> DataFrame:
 
 
 def class_partition(quads: DataFrame, type_iri: str = RDF_TYPE) -> DataFrame:
-    """``(g, class, entities)``."""
-    return quads.where(F.col("p") == f"<{type_iri}>").select("g", F.col("o").alias("class"), "s").distinct().groupBy("g", "class").agg(F.count(F.lit(1)).alias("entities"))
+    """``(g, class, entities)`` of the classes that are IRIs, with their instances that are IRIs."""
+    typed = (F.col("p") == f"<{type_iri}>") & F.col("o").startswith("<") & F.col("s").startswith("<")
+    return quads.where(typed).select("g", F.col("o").alias("class"), "s").distinct().groupBy("g", "class").agg(F.count(F.lit(1)).alias("entities"))
 
 
 def namespace(iri):
-    """IRI text up to its last # or /."""
-    return F.regexp_extract(iri, r"^<?(.*[#/])", 1)
+    """IRI text up to its last #, else its last /, else the IRI with a # added."""
+    text = F.regexp_replace(iri, "^<|>$", "")
+    return F.when(text.contains("#"), F.regexp_extract(text, r"^(.*#)", 1)).when(text.contains("/"), F.regexp_extract(text, r"^(.*/)", 1)).otherwise(F.concat(text, F.lit("#")))
 
 
 def vocabulary(quads: DataFrame) -> DataFrame:
-    """``(g, vocabulary, n_properties)``: namespaces of the properties of a graph."""
-    return quads.select("g", "p").distinct().groupBy("g", namespace(F.col("p")).alias("vocabulary")).agg(F.count(F.lit(1)).alias("n_properties"))
+    """``(g, vocabulary, n_properties, n_objects)``: namespaces of the different properties and IRI objects of a graph, with their numbers."""
+    roles = F.array(F.struct(F.lit("p").alias("r"), F.col("p").alias("t")), F.struct(F.lit("o").alias("r"), F.when(F.col("o").startswith("<"), F.col("o")).alias("t")))
+    unique = quads.select("g", F.explode(roles).alias("x")).where("x.t IS NOT NULL").select("g", "x.r", "x.t").distinct()
+    count = lambda r: F.sum((F.col("r") == r).cast("long"))
+    return unique.groupBy("g", namespace(F.col("t")).alias("vocabulary")).agg(count("p").alias("n_properties"), count("o").alias("n_objects"))
 
 
 def uri_space(quads: DataFrame) -> DataFrame:
@@ -66,13 +75,42 @@ def uri_space(quads: DataFrame) -> DataFrame:
     return ends.select("g", F.when(F.length(prefix) > 10, prefix).alias("uri_space")).select("g", "uri_space", F.concat(F.lit("^"), F.regexp_replace("uri_space", r"([.?+*()\[\]{}|^$\\])", r"\\$1"), F.lit(".*")).alias("uri_pattern"))
 
 
-def void_quads(quads: DataFrame) -> DataFrame:
-    """The description as quads of the void graph."""
-    stats = void_stats(quads)
+def void_quads(quads: DataFrame, type_iri: str = RDF_TYPE) -> DataFrame:
+    """The description as quads of the void graph: counts, partitions by property and class, vocabularies, URI space, and the dataset with its graphs."""
+    iri = lambda text: F.lit(f"<{text}>")
+    number = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"^^xsd:integer'))
+    string = lambda c: F.concat(F.lit('"'), escaped(F.col(c)), F.lit('"^^xsd:string'))
+
+    def spread(df: DataFrame, *items) -> DataFrame:
+        """Rows (s, p, o) of several statements for each row."""
+        cells = F.array(*[F.struct(s.alias("s"), p.alias("p"), o.alias("o")) for s, p, o in items])
+        return df.select(F.explode(cells).alias("x")).select("x.s", "x.p", "x.o").where("o IS NOT NULL")
+
+    g = F.col("g")
+    node = lambda kind, *c: F.concat(F.lit(f"_:{kind}"), F.md5(F.concat_ws(" ", *c)))
     names = {"triples": "triples", "properties": "properties", "classes": "classes", "distinct_subjects": "distinctSubjects", "distinct_objects": "distinctObjects", "entities": "entities"}
-    pairs = [F.struct(F.lit(f"<{VOID}{v}>").alias("p"), F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"^^xsd:integer')).alias("o")) for c, v in names.items()]
-    pairs.append(F.struct(F.lit(TYPE).alias("p"), F.lit(f"<{VOID}Dataset>").alias("o")))
-    return stats.select(F.lit(f"<{VOID_GRAPH}>").alias("g"), F.col("g").alias("s"), F.explode(F.array(*pairs)).alias("x")).select("g", "s", "x.p", "x.o")
+    stats = void_stats(quads, type_iri)
+    described = spread(stats, *[(g, iri(VOID + v), number(c)) for c, v in names.items()], (g, F.lit(TYPE), iri(VOID + "Dataset")), (g, F.lit(TYPE), iri(SD + "Graph")))
+    default = g == f"<{DEFAULT_GRAPH}>"
+    named = node("ng", g)
+    listed = spread(
+        stats.select("g"),
+        (iri(DATASET), F.when(default, iri(SD + "defaultGraph")).otherwise(iri(SD + "namedGraph")), F.when(default, g).otherwise(named)),
+        (named, F.lit(TYPE), F.when(~default, iri(SD + "NamedGraph"))),
+        (named, iri(SD + "name"), F.when(~default, g)),
+        (named, iri(SD + "graph"), F.when(~default, g)),
+    )
+    dataset = quads.sparkSession.createDataFrame([(f"<{DATASET}>", TYPE, f"<{SD}Dataset>")], "s string, p string, o string")
+    by_property = node("pp", g, F.col("p"))
+    properties = spread(property_partition(quads).where(F.col("p").startswith("<")), (g, iri(VOID + "propertyPartition"), by_property), (by_property, iri(VOID + "property"), F.col("p")), (by_property, iri(VOID + "triples"), number("triples")))
+    by_class = node("cp", g, F.col("class"))
+    classes = spread(class_partition(quads, type_iri), (g, iri(VOID + "classPartition"), by_class), (by_class, iri(VOID + "class"), F.col("class")), (by_class, iri(VOID + "entities"), number("entities")))
+    spaces = spread(vocabulary(quads), (g, iri(VOID + "vocabulary"), F.concat(F.lit("<"), F.col("vocabulary"), F.lit(">"))))
+    common = spread(uri_space(quads), (g, iri(VOID + "uriSpace"), string("uri_space")), (g, iri(VOID + "uriRegexPattern"), string("uri_pattern")))
+    out = described
+    for df in (listed, dataset, properties, classes, spaces, common):
+        out = out.unionByName(df)
+    return out.select(F.lit(f"<{VOID_GRAPH}>").alias("g"), "s", "p", "o")
 
 
 def load_stats(quads: DataFrame) -> DataFrame:

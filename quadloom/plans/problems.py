@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.operators import keyskew, widen
+from quadloom.plans.spatial_queries import EDGES
 from quadloom.runtime import cut, table
 from quadloom.spatial import nearby
 
@@ -90,7 +91,22 @@ _WIDE = {
     "major_axis_length": "double", "mesh_surface": "double", "opacity": "double", "perimeter": "double", "probability": "double", "reviewed": "boolean", "scales": "long", "sphericity": "double", "width": "long",
 }
 
+#: Places of geometries, from decoded corners or texts: place(geo_id, g, x, y), and the pairs of the problem: near(a, b), inside(a, b).
+_PLACES = f"""RECURSIVE {EDGES}, c AS (SELECT geo_id, min(g) AS g, max(list_filter(hilbert_corners, lambda v: v >= 0)) AS cs FROM geometries WHERE geo_id IS NOT NULL AND g IS NOT NULL GROUP BY geo_id),
+    d AS (SELECT geo_id, h, h AS t, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, 0 AS j FROM (SELECT DISTINCT geo_id, unnest(cs) AS h FROM c) UNION ALL
+      SELECT geo_id, h, t >> 2, CASE WHEN ry = 0 THEN fy ELSE fx END + (side * rx), CASE WHEN ry = 0 THEN fx ELSE fy END + (side * ry), j + 1
+      FROM (SELECT *, CASE WHEN ry = 0 AND rx = 1 THEN side - 1 - x ELSE x END AS fx, CASE WHEN ry = 0 AND rx = 1 THEN side - 1 - y ELSE y END AS fy
+        FROM (SELECT *, (t >> 1) & 1 AS rx, xor(t, (t >> 1) & 1) & 1 AS ry, CAST(1 AS BIGINT) << j AS side FROM d WHERE j < 17))),
+    place AS (SELECT c.geo_id, c.g, coalesce(q.x, (b.x0 + b.x1) / 2) AS x, coalesce(q.y, (b.y0 + b.y1) / 2) AS y FROM c
+      LEFT JOIN (SELECT geo_id, (min(x) + max(x)) / 2 AS x, (min(y) + max(y)) / 2 AS y FROM d WHERE j = 17 GROUP BY geo_id) q USING (geo_id) LEFT JOIN box b ON b.k = c.geo_id AND q.x IS NULL WHERE coalesce(q.x, b.x0) IS NOT NULL),
+    near AS (SELECT m.geo_id AS a, n.geo_id AS b FROM place m JOIN place n ON m.g = n.g AND m.geo_id < n.geo_id AND abs(m.x - n.x) <= {NEAR_PIXELS} WHERE (m.x - n.x) * (m.x - n.x) + (m.y - n.y) * (m.y - n.y) <= {NEAR_PIXELS ** 2}),
+    side AS (SELECT m.geo_id AS a, e.k AS b, e.pg, (e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1) AS s, x, y, e.x1, e.y1, e.x2, e.y2 FROM place m JOIN annotations r ON m.g = r.g JOIN box o ON o.k = r.annotation_id AND x BETWEEN o.x0 AND o.x1 AND y BETWEEN o.y0 AND o.y1 JOIN e ON e.k = r.annotation_id),
+    inside AS (SELECT DISTINCT a, b FROM (SELECT a, b, pg FROM side GROUP BY a, b, pg HAVING bool_or(s = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) OR count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND (s > 0) = (y2 > y1)) % 2 = 1))"""
+
 ORACLES = {
+    "p3_found": f"WITH {_PLACES} SELECT a AS id_a, b AS id_b FROM near UNION ALL SELECT least(a, b), greatest(a, b) FROM inside",
+    "p3_near_counts": f"""WITH {_PLACES}, n AS (SELECT v, count(*) AS n FROM (SELECT a AS v FROM near UNION ALL SELECT b FROM near) GROUP BY v), r AS (SELECT a AS v, count(*) AS n FROM inside GROUP BY a)
+        SELECT geo_id, g, coalesce(n.n, 0) AS n_near, coalesce(r.n, 0) AS n_regions FROM place LEFT JOIN n ON n.v = geo_id LEFT JOIN r ON r.v = geo_id""",
     "p1_found": f"""WITH {_KEYED} SELECT g, p FROM keyed GROUP BY g, p
         HAVING count(*) * 100 >= {HOT_PER_CENT} * (SELECT count(*) FROM whole)""",
     "p1_key_profile": f"""WITH {_KEYED}, w AS (SELECT g, p, s, count(*) AS n FROM keyed GROUP BY g, p, s)

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.engine import Engine
-from quadloom.runtime import table
+from quadloom.runtime import shared_folder, table
+from quadloom.sources import quads
 from quadloom.sources.mapped import warehouse
 from quadloom.sources.quads import QuadSource
 
@@ -66,7 +67,7 @@ WAREHOUSE: dict[str, tuple[str, str]] = {
         "SELECT 'urn:g:orders' AS g, count(*) AS n FROM orders UNION ALL SELECT 'urn:g:part', count(*) FROM part",
     ),
     "from_default": ("SELECT (COUNT(*) AS ?n) FROM g:orders FROM g:part WHERE { ?s a ?t }", "SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM part) AS n"),
-    "filter_numeric": ("SELECT ?x WHERE { ?x c:p_retailprice ?v ; c:p_size ?z FILTER(?v > 1000 && ?z * 2 <= 30) }", f"SELECT {iri('part', 'p_partkey')} AS x FROM part WHERE p_retailprice > 1000 AND p_size * 2 <= 30"),
+    "filter_numeric": ("SELECT ?x WHERE { ?x c:p_retailprice ?v ; c:p_size ?z FILTER(?v > 910 && ?z * 2 <= 30) }", f"SELECT {iri('part', 'p_partkey')} AS x FROM part WHERE p_retailprice > 910 AND p_size * 2 <= 30"),
     "filter_range_pushdown": ("SELECT ?x ?v WHERE { ?x c:o_totalprice ?v FILTER(250000 < ?v) FILTER(?v <= 260000.5) }", f"SELECT {iri('orders', 'o_orderkey')} AS x, o_totalprice AS v FROM orders WHERE o_totalprice > 250000 AND o_totalprice <= 260000.5"),
     "filter_regex": ("SELECT ?x ?n WHERE { ?x c:p_name ?n FILTER(REGEX(?n, '^S.*G$', 'i')) }", f"SELECT {iri('part', 'p_partkey')} AS x, p_name AS n FROM part WHERE regexp_matches(p_name, '(?i)^S.*G$')"),
     "filter_logic": (
@@ -85,6 +86,34 @@ WAREHOUSE: dict[str, tuple[str, str]] = {
         "SELECT ?c WHERE { ?c c:c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?o r:o_custkey ?c ; c:o_totalprice ?p FILTER(?p > 450000) }) }",
         f"SELECT {iri('customer', 'c_custkey')} AS c FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)",
     ),
+    "exists_or_correlated": (
+        "SELECT ?k WHERE { ?k c:c_acctbal ?b FILTER(?b > 9900 || EXISTS { ?o r:o_custkey ?k ; c:o_totalprice ?p FILTER(?p > ?b * 100) }) }",
+        f"SELECT {iri('customer', 'c_custkey')} AS k FROM customer WHERE c_acctbal > 9900 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 100)",
+    ),
+    "exists_deep": (
+        "SELECT ?k WHERE { ?k c:c_acctbal ?b FILTER NOT EXISTS { { ?o r:o_custkey ?k ; c:o_totalprice ?p FILTER(?p > ?b * 50) } UNION { ?k c:c_mktsegment 'BUILDING' } } }",
+        f"SELECT {iri('customer', 'c_custkey')} AS k FROM customer WHERE c_mktsegment <> 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)",
+    ),
+    "optional_exists": (
+        "SELECT ?k ?o WHERE { ?k c:c_acctbal ?b OPTIONAL { ?o r:o_custkey ?k ; c:o_totalprice ?p FILTER(?p > 400000 || EXISTS { ?k c:c_mktsegment 'BUILDING' FILTER(?p < ?b) }) } }",
+        f"SELECT {iri('customer', 'c_custkey')} AS k, CASE WHEN o_orderkey IS NOT NULL THEN {iri('orders', 'o_orderkey')} END AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND (o_totalprice > 400000 OR (c_mktsegment = 'BUILDING' AND o_totalprice < c_acctbal))",
+    ),
+    "optional_shared": (
+        "SELECT ?d ?x ?l WHERE { ?d c:title_id ?t FILTER(?t = 1001) OPTIONAL { ?d c:lang ?l } OPTIONAL { ?x c:title_id ?u ; c:lang ?l FILTER(?u = 1003) } }",
+        f"SELECT {iri('documents', 'd.doc_id')} AS d, {iri('documents', 'x.doc_id')} AS x, coalesce(d.lang, x.lang) AS l FROM documents d LEFT JOIN (SELECT * FROM documents WHERE title_id = 1003 AND lang IS NOT NULL) x ON d.lang = x.lang OR d.lang IS NULL WHERE d.title_id = 1001",
+    ),
+    "minus_unbound": (
+        "SELECT ?d WHERE { ?d c:title_id ?t OPTIONAL { ?d c:lang ?l } MINUS { ?x c:title_id ?u ; c:lang ?l FILTER(?u = 1003) } }",
+        f"SELECT {iri('documents', 'doc_id')} AS d FROM documents WHERE title_id IS NOT NULL AND (lang IS NULL OR lang NOT IN (SELECT lang FROM documents WHERE title_id = 1003 AND lang IS NOT NULL))",
+    ),
+    "sum_unbound": (
+        "SELECT ?t (SUM(?f) AS ?s) (AVG(?f) AS ?a) WHERE { ?d a t:Documents ; c:title_id ?t OPTIONAL { ?d c:fps ?f } } GROUP BY ?t",
+        "SELECT title_id AS t, CASE WHEN count(*) = count(fps) THEN sum(fps) END AS s, CASE WHEN count(*) = count(fps) THEN avg(fps) END AS a FROM documents WHERE title_id IS NOT NULL GROUP BY 1",
+    ),
+    "str_datetime": (
+        "SELECT ?x (STR(?t) AS ?s) WHERE { ?x c:ts ?t }",
+        f"SELECT {iri('events', 'event_id')} AS x, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '[.]?0+$', '') || 'Z' AS s FROM events",
+    ),
     "project": ("SELECT ?n WHERE { ?x c:c_name ?n ; c:c_acctbal ?b }", "SELECT c_name AS n FROM customer"),
     "bind_expr": ("SELECT ?x ?v WHERE { ?x c:l_extendedprice ?p ; c:l_discount ?d BIND(?p * (1 - ?d) AS ?v) FILTER(?v > 90000) }", "SELECT 'urn:t:lineitem/' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS x, l_extendedprice * (1 - l_discount) AS v FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 90000"),
     "distinct": ("SELECT DISTINCT ?a ?b WHERE { ?x c:p_brand ?a ; c:p_type ?b }", "SELECT DISTINCT p_brand AS a, p_type AS b FROM part"),
@@ -231,5 +260,14 @@ def _on_store(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: Engine(QuadSource(table(spark, sf_dir, "quads"), union_default=True)).sparql(text)
 
 
-QUERIES = {k: _on_warehouse(q) for k, (q, _) in WAREHOUSE.items()} | {k: _on_store(q) for k, (q, _) in STORE.items()}
+def store_set_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star over a written store, whose quads are unique: one shuffle of each side of the join."""
+    path = shared_folder(spark, "set")
+    quads.write(table(spark, sf_dir, "quads").select(*quads.KEY), path)
+    return Engine.store(spark, path).sparql("SELECT ?g ?s ?k ?c WHERE { GRAPH ?g { ?s <urn:x-graph:hal/type> ?k ; <urn:x-graph:hal/classification> ?c } }")
+
+
+QUERIES = {k: _on_warehouse(q) for k, (q, _) in WAREHOUSE.items()} | {k: _on_store(q) for k, (q, _) in STORE.items()} | {"store_set_star": store_set_star}
 ORACLES = {k: sql for k, (_, sql) in (WAREHOUSE | STORE).items()}
+ORACLES["store_set_star"] = """WITH q AS (SELECT DISTINCT g, s, p, o FROM quads WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND g <> '<urn:x-graph:default>')
+    SELECT a.g, a.s, a.o AS k, b.o AS c FROM q a JOIN q b ON a.s = b.s AND a.g = b.g WHERE a.p = '<urn:x-graph:hal/type>' AND b.p = '<urn:x-graph:hal/classification>'"""

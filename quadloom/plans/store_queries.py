@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.engine import Engine
@@ -12,6 +12,7 @@ from quadloom.operators import profile
 from quadloom.runtime import shared_folder, table
 from quadloom.sources import files, ntriples, quads
 from quadloom.sources.mapped import warehouse
+from quadloom.sparql import results
 from quadloom.terms import IRI, WKT_LITERAL, Kind, escaped, text
 
 SHARED, GEO_TYPE = "urn:x-graph:image/4", "urn:x-graph:hal/type"
@@ -117,12 +118,15 @@ def export_nquads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of lines and of out-of-order lines in sorted chunks of at most 10,000."""
+    """Number of lines, of chunks over 10,000 lines and of lines out of order inside a chunk."""
     path = shared_folder(spark, "chunks")
     ntriples.export(_set(spark, sf_dir).select(*quads.KEY), path, 10_000)
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("f"), "value")
-    per = lines.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("n_lines"), (F.max("n") <= 10_000).alias("bounded"))
+    lines = spark.read.option("wholetext", "true").text(path).select(F.monotonically_increasing_id().alias("f"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "line"))
+    parsed = lines.select("f", "i", *[F.regexp_extract("line", ntriples.LINE, n).alias(c) for n, c in ((4, "g"), (1, "s"), (2, "p"))])
+    key = F.struct("g", "s", "p")
+    before = F.lag(key).over(Window.partitionBy("f").orderBy("i"))
+    per = parsed.withColumn("bad", F.coalesce((before > key).cast("long"), F.lit(0))).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    return per.agg(F.sum("n").alias("n_lines"), F.sum((F.col("n") > 10_000).cast("long")).alias("n_over"), F.sum("bad").alias("n_unsorted"))
 
 
 def bnode_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,13 +142,13 @@ def dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def void_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-graph description of the source quads, repeats included."""
-    return profile.void_stats(_store(spark, sf_dir).df)
+    """Per-graph description of the source quads, repeats included, by the data's own type predicate."""
+    return profile.void_stats(_store(spark, sf_dir).df, GEO_TYPE)
 
 
 def void_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of the mapped tables."""
-    return profile.void_stats(warehouse(spark, sf_dir).quads()).select("g", "triples", "properties", "classes", "distinct_subjects")
+    """The same of the mapped tables, by rdf:type."""
+    return profile.void_stats(warehouse(spark, sf_dir).quads()).select("g", "properties", "classes", "distinct_subjects", "entities")
 
 
 def void_property_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +162,7 @@ def void_class_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def void_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Namespaces of properties."""
+    """Namespaces of properties and objects."""
     return profile.vocabulary(_store(spark, sf_dir).df)
 
 
@@ -168,10 +172,20 @@ def void_urispace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def void_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The description as quads."""
-    return profile.void_quads(_store(spark, sf_dir).df)
+    """The counts of the description as quads."""
+    return profile.void_quads(_store(spark, sf_dir).df, GEO_TYPE).where(f"p LIKE '<{profile.VOID}%' AND s LIKE '<%' AND o LIKE '%xsd:integer'")
 
 
+def void_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions, vocabularies, URI spaces and the dataset's graphs from the quads of the description, read back through their links."""
+    q = Engine(quads.QuadSource(quads.typed(profile.void_quads(_store(spark, sf_dir).df, GEO_TYPE))))
+    query = f"""PREFIX void: <{profile.VOID}> PREFIX sd: <{profile.SD}> SELECT ?g ?kind ?what ?n WHERE {{ GRAPH <{profile.VOID_GRAPH}> {{
+        {{ ?g void:propertyPartition ?x . ?x void:property ?what ; void:triples ?n BIND('property' AS ?kind) }}
+        UNION {{ ?g void:classPartition ?x . ?x void:class ?what ; void:entities ?n BIND('class' AS ?kind) }}
+        UNION {{ ?g void:vocabulary ?what BIND('vocabulary' AS ?kind) }} UNION {{ ?g void:uriSpace ?what BIND('space' AS ?kind) }}
+        UNION {{ ?d sd:namedGraph ?x . ?x sd:name ?g ; sd:graph ?what BIND('named' AS ?kind) }} UNION {{ ?d sd:defaultGraph ?g BIND('default' AS ?kind) }} }} }}"""
+    return q.sparql(query).select("g", "kind", F.regexp_replace("what", '^[<"]|[>]$|"\\^\\^xsd:string$', "").alias("what"), F.regexp_extract("n", '^"([0-9]+)"', 1).alias("n"))
+
 def load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges and lengths by datatype."""
     return profile.load_stats(_store(spark, sf_dir).df)
@@ -191,6 +205,35 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as documents of all formats for bindings: each format's name and lines."""
+    e = Engine(warehouse(spark, sf_dir))
+    parts = []
+    for form in ("json", "xml", "csv", "tsv"):
+        d = e.document("SELECT ?r ?name ?k WHERE { ?r c:r_name ?name ; c:r_regionkey ?k }", form)
+        parts.append(d.pieces.select(F.lit(form).alias("form"), "value"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of regions as documents of all formats for graphs."""
+    e = Engine(warehouse(spark, sf_dir))
+    parts = [e.document("CONSTRUCT { ?r <urn:k:name> ?name } WHERE { ?r c:r_name ?name }", form).pieces.select(F.lit(form).alias("form"), "value") for form in ("nt", "turtle", "jsonld", "rdfxml")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def framed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of the mapped tables as framed objects, regions embedded."""
+    t = warehouse(spark, sf_dir).quads().where("g IN ('<urn:g:nation>', '<urn:g:region>') AND p IN ('<urn:c:n_name>', '<urn:c:r_name>', '<urn:r:n_regionkey>', '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>')")
+    return results.framed(t, "urn:t:Nation", {"t": "urn:t:", "c": "urn:c:", "r": "urn:r:"}).select("json")
+
+
 def frame_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects framed as JSON objects: predicate to sorted values."""
     q = _set(spark, sf_dir).select("s", "p", "o").distinct()
@@ -208,6 +251,11 @@ def container_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.as_quads(files.items(spark, os.path.realpath(sf_dir)))
 
 
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the second page."""
+    return files.page_links(table(spark, sf_dir, "supplier"), 2, "urn:x-graph:suppliers/")
+
+
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second page of a listing of suppliers."""
     return files.page(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), 2, "s_suppkey")
@@ -215,8 +263,8 @@ def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     find_spo, find_quads_any_graph, find_named_only, dump_gspo, dump_gpos, list_graphs, contains_graph, distinct_graphs, distinct_subjects, distinct_predicates, distinct_objects, count_triples, dedup_quads,
-    store_roundtrip, load_nquads, export_nquads, sorted_chunks, bnode_relabel, dictionary_ids, void_stats, void_warehouse, void_property_partition, void_class_partition, void_vocabulary, void_urispace, void_quads,
-    load_stats, geo_literals, result_json, frame_json, lws_items, container_tree, page_items,
+    store_roundtrip, load_nquads, export_nquads, sorted_chunks, bnode_relabel, dictionary_ids, void_stats, void_warehouse, void_property_partition, void_class_partition, void_vocabulary, void_urispace, void_quads, void_links,
+    load_stats, geo_literals, result_json, result_documents, graph_documents, framed_json, frame_json, lws_items, container_tree, page_items, page_links,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -225,8 +273,15 @@ _SET = f"(SELECT DISTINCT g, s, p, o FROM quads WHERE {_OK})"
 _NUMERIC = "('xsd:integer', 'xsd:int', 'xsd:long', 'xsd:double', 'xsd:float', 'xsd:decimal')"
 _FULL = "regexp_replace(o, '\"\\^\\^xsd:(\\w+)$', '\"^^<http://www.w3.org/2001/XMLSchema#\\1>')"
 _TYPE = "'<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>'"
-_VOID = f"""SELECT g, count(*) AS triples, count(DISTINCT p) AS properties, count(DISTINCT o) FILTER (WHERE p = {_TYPE}) AS classes,
-    count(DISTINCT s) AS distinct_subjects, count(DISTINCT o) AS distinct_objects, count(DISTINCT s) FILTER (WHERE s NOT LIKE '"%') AS entities FROM quads WHERE {_OK} GROUP BY g"""
+_TYPED = f"p = '<{GEO_TYPE}>' AND o LIKE '<%' AND s LIKE '<%'"
+_VOID = f"""SELECT g, count(*) AS triples, count(DISTINCT p) AS properties, count(DISTINCT o) FILTER (WHERE {_TYPED}) AS classes,
+    count(DISTINCT s) AS distinct_subjects, count(DISTINCT o) AS distinct_objects, count(DISTINCT (o, s)) FILTER (WHERE {_TYPED}) AS entities FROM quads WHERE {_OK} GROUP BY g"""
+_NAMESPACE = "CASE WHEN contains(t, '#') THEN regexp_extract(t, '^(.*#)', 1) WHEN contains(t, '/') THEN regexp_extract(t, '^(.*/)', 1) ELSE t || '#' END"
+_VOCABULARY = f"SELECT DISTINCT g, r, trim(t, '<>') AS t FROM (SELECT g, 'p' AS r, p AS t FROM quads WHERE {_OK} UNION ALL SELECT g, 'o', o FROM quads WHERE {_OK} AND o LIKE '<%')"
+_SPACE = f"""m AS (SELECT g, min(s)[2:-2] AS a, max(s)[2:-2] AS b FROM quads WHERE {_OK} AND s LIKE '<%' GROUP BY g),
+    c AS (SELECT g, a, (SELECT coalesce(max(i), 0) FROM range(1, len(a) + 1) t(i) WHERE a[1:i] = b[1:i]) AS n FROM m), u AS (SELECT g, CASE WHEN len(x) > 10 THEN x END AS uri_space FROM (SELECT g, regexp_extract(a[1:n], '^(.*[#/])', 1) AS x FROM c))"""
+#: Per mapped table the number of properties: type, columns and links.
+_MAPPED = {"region": 3, "nation": 6, "customer": 7, "supplier": 6, "part": 7, "orders": 8, "lineitem": 15, "events": 10, "documents": 9, "images": 8}
 
 ORACLES = {
     "find_spo": f"SELECT g, s, p, o FROM {_SET} WHERE g = '<{SHARED}>' AND p = '<{GEO_TYPE}>'",
@@ -244,16 +299,31 @@ ORACLES = {
         CASE WHEN o_dt IN {_NUMERIC} THEN TRY_CAST(regexp_extract(o, '^"(.*)"', 1, 's') AS DOUBLE) END AS o_num FROM quads WHERE {_OK}""",
     "load_nquads": f"SELECT g, s, p, o FROM {_SET}",
     "export_nquads": f"SELECT s || ' ' || p || ' ' || {_FULL} || CASE WHEN g <> '<urn:x-graph:default>' THEN ' ' || g ELSE '' END || ' .' AS value FROM {_SET}",
-    "sorted_chunks": f"SELECT count(*) AS n_lines, true AS bounded FROM {_SET}",
+    "sorted_chunks": f"SELECT count(*) AS n_lines, 0 AS n_over, 0 AS n_unsorted FROM {_SET}",
     "bnode_relabel": "SELECT 2 * count(DISTINCT n_nationkey) AS subjects, 2 * count(DISTINCT n_regionkey) AS objects, 2 * count(*) AS n FROM nation",
     "dictionary_ids": f"""WITH q AS {_SET}, t AS (SELECT 'entity' AS role, g AS term FROM q UNION ALL SELECT 'entity', s FROM q UNION ALL SELECT 'predicate', p FROM q UNION ALL SELECT CASE WHEN o LIKE '"%' THEN 'literal' ELSE 'entity' END, o FROM q)
         SELECT role, term, count(*) AS n, row_number() OVER (PARTITION BY role ORDER BY term) AS id FROM t GROUP BY role, term""",
-    "void_stats": _VOID.replace("count(DISTINCT s) FILTER (WHERE s NOT LIKE '\"%') AS entities", "count(DISTINCT s) AS entities"),
+    "void_stats": _VOID,
+    "void_warehouse": " UNION ALL ".join(f"SELECT '<urn:g:{t}>' AS g, {n} AS properties, 1 AS classes, count(*) AS distinct_subjects, count(*) AS entities FROM {t}" for t, n in _MAPPED.items()),
+    "void_urispace": f"WITH {_SPACE} SELECT g, uri_space, '^' || regexp_replace(uri_space, '([.?+*()\\[\\]{{}}|^$\\\\])', '\\\\\\1', 'g') || '.*' AS uri_pattern FROM u",
+    "void_links": f"""WITH {_SPACE}, q AS (SELECT * FROM quads WHERE {_OK}), v AS ({_VOCABULARY}) SELECT g, 'property' AS kind, trim(p, '<>') AS what, CAST(count(*) AS VARCHAR) AS n FROM q GROUP BY g, p
+        UNION ALL SELECT g, 'class', trim(o, '<>'), CAST(count(DISTINCT s) AS VARCHAR) FROM q WHERE {_TYPED} GROUP BY g, o UNION ALL SELECT DISTINCT g, 'vocabulary', {_NAMESPACE}, NULL FROM v
+        UNION ALL SELECT g, 'space', uri_space, NULL FROM u WHERE uri_space IS NOT NULL UNION ALL SELECT DISTINCT g, 'named', trim(g, '<>'), NULL FROM q WHERE g <> '<urn:x-graph:default>' UNION ALL SELECT DISTINCT g, 'default', NULL, NULL FROM q WHERE g = '<urn:x-graph:default>'""",
     "void_property_partition": f"SELECT g, p, count(*) AS triples, count(DISTINCT s) AS distinct_subjects, count(DISTINCT o) AS distinct_objects FROM quads WHERE {_OK} GROUP BY g, p",
-    "void_class_partition": f"SELECT g, o AS class, count(DISTINCT s) AS entities FROM quads WHERE {_OK} AND p = '<{GEO_TYPE}>' GROUP BY g, o",
-    "void_vocabulary": f"SELECT g, regexp_extract(p, '^<?(.*[#/])', 1) AS vocabulary, count(DISTINCT p) AS n_properties FROM quads WHERE {_OK} GROUP BY 1, 2",
+    "void_class_partition": f"SELECT g, o AS class, count(DISTINCT s) AS entities FROM quads WHERE {_OK} AND {_TYPED} GROUP BY g, o",
+    "void_vocabulary": f"SELECT g, {_NAMESPACE} AS vocabulary, count(*) FILTER (WHERE r = 'p') AS n_properties, count(*) FILTER (WHERE r = 'o') AS n_objects FROM ({_VOCABULARY}) GROUP BY 1, 2",
+    "frame_json": f"""WITH v AS (SELECT s, p, to_json(list_sort(list(DISTINCT o))) AS l FROM {_SET} GROUP BY s, p) SELECT s, '{{' || string_agg(to_json(p) || ':' || l, ',' ORDER BY p) || '}}' AS json FROM v GROUP BY s""",
+    "framed_json": """SELECT '{"@id":"t:nation/' || n_nationkey || '","@type":["t:Nation"],"c:n_name":["' || n_name || '"],"r:n_regionkey":[{"@id":"t:region/' || n_regionkey || '","@type":["t:Region"],"c:r_name":["' || r_name || '"]}]}' AS json FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "result_documents": """SELECT 'json' AS form, '{"r":{"type":"uri","value":"urn:t:region/' || r_regionkey || '"},"name":{"type":"literal","value":"' || r_name || '"},"k":{"type":"literal","value":"' || r_regionkey || '","datatype":"http://www.w3.org/2001/XMLSchema#int"}}' AS value FROM region
+        UNION ALL SELECT 'xml', '<result><binding name="r"><uri>urn:t:region/' || r_regionkey || '</uri></binding><binding name="name"><literal>' || r_name || '</literal></binding><binding name="k"><literal datatype="http://www.w3.org/2001/XMLSchema#int">' || r_regionkey || '</literal></binding></result>' FROM region
+        UNION ALL SELECT 'csv', 'urn:t:region/' || r_regionkey || ',' || r_name || ',' || r_regionkey FROM region
+        UNION ALL SELECT 'tsv', '<urn:t:region/' || r_regionkey || '>' || chr(9) || '"' || r_name || '"' || chr(9) || '"' || r_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#int>' FROM region""",
+    "graph_documents": """WITH f AS (SELECT unnest(['nt', 'turtle']) AS form) SELECT form, '<urn:t:region/' || r_regionkey || '> <urn:k:name> "' || r_name || '" .' AS value FROM region, f
+        UNION ALL SELECT 'jsonld', '{"@id":"urn:t:region/' || r_regionkey || '", "urn:k:name": [{"@value":"' || r_name || '"}]}' FROM region
+        UNION ALL SELECT 'rdfxml', '<rdf:Description rdf:about="urn:t:region/' || r_regionkey || '"><n:name xmlns:n="urn:k:">' || r_name || '</n:name></rdf:Description>' FROM region""",
+    "page_links": "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages, 'urn:x-graph:suppliers/?page=1' AS first, 'urn:x-graph:suppliers/?page=1' AS prev, CASE WHEN 2 < ceil(count(*) / 20.0) THEN 'urn:x-graph:suppliers/?page=3' END AS next, 'urn:x-graph:suppliers/?page=' || CAST(greatest(1, ceil(count(*) / 20.0)) AS BIGINT) AS last FROM supplier",
     "void_quads": f"""WITH v AS ({_VOID}), x AS (SELECT g, unnest(['triples', 'properties', 'classes', 'distinctSubjects', 'distinctObjects', 'entities']) AS p, unnest([triples, properties, classes, distinct_subjects, distinct_objects, entities]) AS n FROM v)
-        SELECT '<urn:x-graph:void>' AS g, g AS s, '<http://rdfs.org/ns/void#' || p || '>' AS p, '"' || n || '"^^xsd:integer' AS o FROM x UNION ALL SELECT '<urn:x-graph:void>', g, {_TYPE}, '<http://rdfs.org/ns/void#Dataset>' FROM v""",
+        SELECT '<urn:x-graph:void>' AS g, g AS s, '<http://rdfs.org/ns/void#' || p || '>' AS p, '"' || n || '"^^xsd:integer' AS o FROM x""",
     "load_stats": f"SELECT o_dt, count(*) AS n, min(o_num) AS lo, max(o_num) AS hi, max(length(o_lex)) AS max_length FROM quads WHERE {_OK} GROUP BY o_dt",
     "geo_literals": "SELECT '<urn:x-graph:image/' || g || '>' AS g, count(DISTINCT (s, as_wkt)) AS n FROM geometries WHERE as_wkt IS NOT NULL AND s IS NOT NULL AND g IS NOT NULL GROUP BY geometries.g",
     "result_json": "SELECT '{\"r\":\"urn:t:region/' || r_regionkey || '\",\"name\":\"' || r_name || '\"}' AS json FROM region",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,31 +32,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own, or a temporary one where none is set."""
+    """The shared checkpoint folder: the session's own, or a temporary one where none is set, which only a local session may use."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quadloom-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
 
+def _place(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from there.
 
     Iterative operators call this each round: the lineage ends at the files, so the loss of an executor costs a
     re-read, and, other than after ``checkpoint()``, the optimizer keeps neither plan nor statistics of earlier
     rounds, which would grow exponentially where a round uses the last one twice. The files go when the
-    session ends.
+    session ends, or earlier with ``release``.
     """
     spark = df.sparkSession
     path = shared_folder(spark, "cut")
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.pop("_cut_path", None)
+        if path:
+            place, files = _place(df.sparkSession, path)
+            files.delete(place, True)
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

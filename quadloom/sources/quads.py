@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom import terms
+from quadloom.spatial import index
 from quadloom.sparql.algebra import Pattern
 from quadloom.sparql.frame import Frame
 from quadloom.terms import DEFAULT_GRAPH, IRI, NT, NUMERICS, Var
@@ -36,21 +39,34 @@ def dedup(quads: DataFrame) -> DataFrame:
     return quads.dropDuplicates(KEY)
 
 
-def write(quads: DataFrame, path: str) -> None:
-    """Store: range-partitioned by predicate and object so that row-group statistics prune both access paths, zstd-compressed."""
+def write(quads: DataFrame, path: str, spatial: bool = False) -> None:
+    """Store: range-partitioned by predicate and object so that row-group statistics prune both access paths, zstd-compressed.
+
+    With ``spatial`` a tile index of its WKT literals is written too.
+    """
     ready = dedup(quads if set(SIDE) <= set(quads.columns) else typed(quads)).select(*KEY, *SIDE)
     ready.repartitionByRange("p", "o", "s").sortWithinPartitions("p", "o_num", "o", "s").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if spatial:
+        index.write(quads.sparkSession.read.parquet(path), path)
 
 
 def read(spark: SparkSession, path: str) -> QuadSource:
-    return QuadSource(spark.read.parquet(path))
+    """A store as a source. One with batches of a stream isn't known to be a set before it is compacted."""
+    df = spark.read.parquet(path)
+    return QuadSource(df, unique="batch" not in df.columns, tiles=index.read(spark, path))
 
 
 class QuadSource:
-    """Quads of a store. ``union_default``: patterns outside GRAPH see the union of all graphs instead of the default graph."""
+    """Quads of a store.
+
+    ``union_default``: patterns outside GRAPH see the union of all graphs instead of the default graph. ``unique``:
+    the table holds each quad once, so that a pattern over one graph, or one that reports the graph, needs no
+    removal of repeats and with it no shuffle. ``tiles``: the tile index of all its WKT literals (``spatial.index``).
+    """
 
-    def __init__(self, quads: DataFrame, union_default: bool = False):
-        self.spark, self.df, self.union_default = quads.sparkSession, quads.where(" AND ".join(f"{c} IS NOT NULL" for c in KEY)), union_default
+    def __init__(self, quads: DataFrame, union_default: bool = False, unique: bool = False, tiles: DataFrame | None = None):
+        self.tiles = tiles
+        self.spark, self.df, self.union_default, self.unique = quads.sparkSession, quads.where(" AND ".join(f"{c} IS NOT NULL" for c in KEY)), union_default, unique
 
     def _in(self, graph) -> DataFrame:
         if graph is None:
@@ -77,13 +93,15 @@ class QuadSource:
         if isinstance(p.o, Var) and "o_num" in self.df.columns:
             for op, x in ranges.get(p.o.name, []):
                 conditions.append({"<": F.col("o_num") < x, "<=": F.col("o_num") <= x, ">": F.col("o_num") > x, ">=": F.col("o_num") >= x}[op])
-        source = QuadSource.__new__(QuadSource)
-        source.spark, source.union_default, source.df = self.spark, self.union_default, self.df
+        source = copy.copy(self)
         for c in conditions:  # before any removal of duplicates, so that they reach the scan
             source.df = source.df.where(c)
-        found = source._in(graph).dropDuplicates(KEY) if graph is not None and isinstance(graph, Var) else source._in(graph)
-        if graph is None and not self.union_default or isinstance(graph, IRI):
-            found = found.dropDuplicates(["s", "p", "o"])
+        found = source._in(graph)
+        if not self.unique:
+            if isinstance(graph, Var):
+                found = found.dropDuplicates(KEY)
+            elif graph is None and not self.union_default or isinstance(graph, IRI):
+                found = found.dropDuplicates(["s", "p", "o"])
         return Frame(found.select(*[c.alias(n) for n, c in columns.items()]) if columns else found.select(F.lit(1).alias("__one")), {n: NT for n in columns})
 
     def quads(self) -> DataFrame:

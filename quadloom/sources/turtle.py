@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,22 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from quadloom.sparql.parser import Parser, SparqlSyntaxError
 from quadloom.terms import DEFAULT_GRAPH, BNode, Var, canonical
 
-_DIRECTIVE = re.compile(r"@(prefix|base)\b", re.I)
-
-
 class TurtleParser(Parser):
     """Triples of a document. The triple syntax is that of queries, with directives and without variables."""
 
     def __init__(self, text: str, scope: str = ""):
-        super().__init__(_DIRECTIVE.sub(lambda m: m[1].upper(), text), {})
+        super().__init__(text, {})
         self.prefixes, self.scope = {}, scope
 
     def label(self, name: str) -> BNode:
         return BNode("b" + hashlib.sha256(f"{self.scope}\x1f{name}".encode()).hexdigest()[:32])
 
+    def directive(self) -> str | None:
+        """PREFIX or BASE, also with a sign before, where no literal goes before."""
+        if self.peek()[0] == "lang" and self.peek()[1].lower() in ("@prefix", "@base"):
+            return self.take()[1][1:].upper()
+        return self.accept("PREFIX", "BASE")
+
     def triples(self) -> Iterator[tuple[str, str, str]]:
         while self.peek()[0] != "end":
-            if word := self.accept("PREFIX", "BASE"):
+            if word := self.directive():
                 if word == "BASE":
                     self.base = self.take()[1][1:-1]
                 else:

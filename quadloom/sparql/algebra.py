@@ -169,3 +169,29 @@ def variables(node: Any) -> set[str]:
         case Sub(q):
             return {n for n, _ in q.select} if q.select is not None else variables(q.where)
     return set()
+
+
+def mentioned(node: Any) -> set[str]:
+    """Names of all variables in a pattern, those of its filters, expressions and inner EXISTS included."""
+
+    def of(e: Any) -> set[str]:
+        if isinstance(e, Var):
+            return {e.name}
+        if isinstance(e, Exists):
+            return mentioned(e.pattern)
+        if isinstance(e, Aggregate):
+            return of(e.arg)
+        return {n for a in e.args for n in of(a)} if isinstance(e, Call) else set()
+
+    match node:
+        case Join(a, b) | Union(a, b) | Minus(a, b):
+            return mentioned(a) | mentioned(b)
+        case LeftJoin(a, b, c):
+            return mentioned(a) | mentioned(b) | of(c)
+        case Filter(c, p):
+            return mentioned(p) | of(c)
+        case Extend(p, v, e):
+            return mentioned(p) | {v.name} | of(e)
+        case Graph(g, p):
+            return mentioned(p) | of(g)
+    return variables(node)

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from quadloom import terms
 from quadloom.functions.expressions import Scope, sort_keys
-from quadloom.runtime import cut
+from quadloom.runtime import cut, release
 from quadloom.sparql import algebra as A
-from quadloom.sparql.frame import Frame, align, common_kind, join, union
+from quadloom.sparql.frame import Frame, common_kind, join, union
+from quadloom.spatial.index import near
 from quadloom.terms import BOOLEAN, DECIMAL, DOUBLE, INTEGER, INTEGERS, IRI, NT, NUMERICS, STRING, Kind, Lit, Var
 
 _FLIP = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
-#: A path that hasn't closed after so many rounds is an error.
-MAX_ROUNDS = 200
 
 
 def conjuncts(e: Any) -> list[Any]:
@@ -28,15 +27,24 @@ def parts(e: Any, kind: type) -> list[Any]:
     """Nodes of a kind inside an expression."""
     if isinstance(e, kind):
         return [e]
+    if isinstance(e, A.Aggregate):
+        return parts(e.arg, kind)
     return [x for a in e.args for x in parts(a, kind)] if isinstance(e, A.Call) else []
 
 
+def variables_of(e: Any) -> set[str]:
+    """Variables of an expression, those of its EXISTS patterns included."""
+    inside = {n for x in parts(e, A.Exists) for n in A.mentioned(x.pattern)}
+    return inside | {v.name for v in parts(e, Var)}
+
+
 class Compiler:
     def __init__(self, source, functions: dict | None = None):
         self.source, self.spark = source, source.spark
         self.functions = functions or {}
         self.base, self.named = None, None  # dataset clauses
         self.count = itertools.count()
+        self.outer: list[Frame] = []  # rows outside of the EXISTS being compiled
 
     def scope(self, kinds: dict[str, Kind], computed: dict | None = None) -> Scope:
         return Scope(kinds, computed, self.functions)
@@ -63,13 +71,15 @@ class Compiler:
                 return self.filtered(condition, inner, graph)
             case A.Extend(inner, var, expr):
                 f = self.pattern(inner, graph)
-                return self.extend(f, var.name, expr)
+                return self.extend(f, var.name, expr, graph=graph)
             case A.Graph(g, inner):
                 return self.in_graph(g, inner)
             case A.Values(names, rows):
                 return self.values(names, rows)
             case A.Sub(query):
+                outer, self.outer = self.outer, []  # a sub-query doesn't see variables from outside
                 f = self.select(query, graph)
+                self.outer = outer
                 return f.pick([n for n in f.kinds if not n.startswith("__")])
         raise NotImplementedError(type(node).__name__)
 
@@ -127,10 +137,32 @@ class Compiler:
                     if isinstance(a, Var) and isinstance(b, Lit) and b.dt in NUMERICS:
                         ranges.setdefault(a.name, []).append((op, float(b.lex)))
         f = self.bgp(inner.patterns, graph, ranges) if isinstance(inner, A.BGP) else self.pattern(inner, graph)
+        if isinstance(inner, A.BGP):
+            f = self.near_region(f, inner.patterns, condition)
         return self.where(f, condition, graph)
 
+    def near_region(self, f: Frame, patterns: list[A.Pattern], condition: Any) -> Frame:
+        """With a tile index, only solutions whose geometry shares a tile with the region of a top-level ``sfIntersects``, on which the exact test follows."""
+        index = getattr(self.source, "tiles", None)
+        for c in conjuncts(condition) if index is not None else ():
+            if not (isinstance(c, A.Call) and c.name == "iri:" + terms.GEOF + "sfIntersects"):
+                continue
+            shape = [a for a in c.args[:2] if isinstance(a, Var)]
+            region = [a for a in c.args[:2] if isinstance(a, Lit)]
+            scale = c.args[2] if len(c.args) > 2 else Lit("0", "xsd:integer")
+            if len(shape) != 1 or len(region) != 1 or not (isinstance(scale, Lit) and scale.lex.isdigit()) or (len(c.args) > 2 and c.args[1] != region[0]):
+                continue
+            for p in patterns:
+                if p.o == shape[0] and isinstance(p.s, Var) and isinstance(p.p, (IRI, Var)) and f.kinds[p.s.name].sort == "nt":
+                    subjects = near(index, region[0].lex, int(scale.lex), terms.canonical(p.p) if isinstance(p.p, IRI) else None)
+                    if subjects is not None:
+                        f = join(f, Frame(subjects.withColumnRenamed("s", p.s.name), {p.s.name: NT}), "semi")
+                    break
+        return f
+
     def where(self, f: Frame, condition: Any, graph: Any = None, computed: dict | None = None) -> Frame:
         computed = dict(computed or {})
+        f = self.with_outer(f, variables_of(condition))
         for c in conjuncts(condition):
             if isinstance(c, A.Exists) or (isinstance(c, A.Call) and c.name == "!" and isinstance(c.args[0], A.Exists)):
                 e, flip = (c, False) if isinstance(c, A.Exists) else (c.args[0], True)
@@ -142,69 +174,88 @@ class Compiler:
             f = Frame(f.df.where(self.scope(f.kinds, computed).condition(c)), f.kinds)
         return f
 
+    def with_outer(self, f: Frame, needed: set[str]) -> Frame:
+        """``f`` joined with those variables from outside of the EXISTS being compiled that an expression needs and ``f`` lacks."""
+        for rows in self.outer:
+            lacking = needed & rows.kinds.keys() - f.kinds.keys()
+            if lacking:
+                some = rows.pick(sorted(lacking | (rows.kinds.keys() & f.kinds.keys())))
+                f = join(f, Frame(some.df.distinct(), some.kinds))
+        return f
+
+    def inside(self, f: Frame, pattern: Any, graph: Any) -> Frame:
+        """A pattern of EXISTS, compiled for the rows of ``f``."""
+        self.outer.append(f)
+        try:
+            return self.pattern(pattern, graph)
+        finally:
+            self.outer.pop()
+
     def correlated(self, f: Frame, e: A.Exists, graph: Any) -> tuple[Frame, Any]:
-        """The pattern of EXISTS and its filter if that one needs variables from outside."""
+        """The pattern of EXISTS and its top filter if that one needs variables from outside.
+
+        Filters further down that need such variables are joined with their values, as if these had been put in.
+        """
         inner = e.pattern
-        if isinstance(inner, A.Filter):
-            body = self.pattern(inner.pattern, graph)
-            needed = {v.name for v in parts(inner.condition, Var)}
-            if needed & f.kinds.keys() - body.kinds.keys():
+        if isinstance(inner, A.Filter) and not parts(inner.condition, A.Exists):
+            body = self.inside(f, inner.pattern, graph)
+            if variables_of(inner.condition) & f.kinds.keys() - body.kinds.keys():
                 return body, inner.condition
-        return self.pattern(inner, graph), None
+        return self.inside(f, inner, graph), None
 
     def exists(self, f: Frame, e: A.Exists, graph: Any, negated: bool) -> Frame:
         body, condition = self.correlated(f, e, graph)
-        keep = sorted(body.kinds.keys() & (f.kinds.keys() | ({v.name for v in parts(condition, Var)} if condition is not None else set())))
-        if not keep:
-            any_row = body.df.limit(1).count() > 0
-            return Frame(f.df.where(F.lit(any_row != negated)), f.kinds)
+        keep = sorted(body.kinds.keys() & (f.kinds.keys() | variables_of(condition)))
         test = None if condition is None else lambda kinds: self.scope(kinds).condition(condition)
-        return join(f, body.pick(keep), "anti" if negated else "semi", test)
+        rows = body.pick(keep) if keep else Frame(body.df.select(F.lit(1).alias("__any")), {})
+        return join(f, rows, "anti" if negated else "semi", test)
 
     def marked(self, f: Frame, e: A.Exists, graph: Any) -> tuple[Frame, Column]:
+        """``f`` with a column that tells for each row whether EXISTS holds: found for the distinct rows of the variables that matter."""
         body, condition = self.correlated(f, e, graph)
-        keep, name = sorted(body.kinds.keys() & f.kinds.keys()), self.fresh("exists")
-        if condition is None:
-            some = body.pick(keep)
-            some = Frame(some.df.distinct().withColumn(name, F.lit(True)), {**some.kinds, name: BOOLEAN})
-            f = join(f, some, "left")
-        else:
-            # the filter is tested for each distinct row of outer variables; copies of these lead back to the rows
-            needed = {v.name for v in parts(condition, Var)}
-            outer = sorted(f.kinds.keys() & (body.kinds.keys() | needed))
-            copies = {v: f"{name}_{i}" for i, v in enumerate(outer)}
-            rows = f.pick(outer)
-            rows = Frame(rows.df.distinct().select("*", *[F.col(f"`{v}`").alias(c) for v, c in copies.items()]), rows.kinds)
-            met = join(rows, body.pick(sorted(body.kinds.keys() & (f.kinds.keys() | needed))), "semi", lambda kinds: self.scope(kinds).condition(condition))
-            some = met.df.select(*copies.values(), F.lit(True).alias(name))
-            on = [F.col(f"`{v}`").eqNullSafe(F.col(c)) for v, c in copies.items()]
-            f = Frame(f.df.join(some, on, "left").drop(*copies.values()), {**f.kinds, name: BOOLEAN})
+        name = self.fresh("exists")
+        outer = sorted(f.kinds.keys() & (body.kinds.keys() | variables_of(condition)))
+        copies = {v: f"{name}_{i}" for i, v in enumerate(outer)}
+        rows = f.pick(outer) if outer else self.unit()
+        rows = Frame(rows.df.distinct().select("*", *[F.col(f"`{v}`").alias(c) for v, c in copies.items()]), rows.kinds)
+        rows = Frame(rows.df, {**rows.kinds, **{c: rows.kinds[v] for v, c in copies.items()}})
+        keep = sorted(body.kinds.keys() & (f.kinds.keys() | variables_of(condition)))
+        inner = body.pick(keep) if keep else Frame(body.df.select(F.lit(1).alias("__any")), {})
+        met = join(rows, inner, "semi", None if condition is None else lambda kinds: self.scope(kinds).condition(condition))
+        some = met.df.select(*copies.values(), F.lit(True).alias(name))
+        if not outer:
+            some = some.limit(1)
+        on = [F.col(f"`{v}`").eqNullSafe(F.col(c)) for v, c in copies.items()]
+        f = Frame(f.df.join(some, on or F.lit(True), "left").drop(*copies.values()), {**f.kinds, name: BOOLEAN})
         column = F.coalesce(F.col(name), F.lit(False))
         return f, ~column if e.negated else column
 
     def optional(self, a: Any, b: Any, condition: Any, graph: Any) -> Frame:
         left, right = self.pattern(a, graph), self.pattern(b, graph)
-        for c in conjuncts(condition):
-            if parts(c, A.Exists):
-                right, condition = self.where(right, condition, graph), None
-                break
-        return join(left, right, "left", None if condition is None else lambda kinds: self.scope(kinds).condition(condition))
+        if not parts(condition, A.Exists):
+            right = self.with_outer(right, variables_of(condition) - left.kinds.keys())
+            return join(left, right, "left", lambda kinds: self.scope(kinds).condition(condition))
+        # EXISTS speaks about rows of both sides: these are numbered, tested, and rows of the left without a match come back
+        row = self.fresh("row")
+        numbered = cut(left.df.withColumn(row, F.monotonically_increasing_id()))
+        left = Frame(numbered, {**left.kinds, row: INTEGER})
+        met = self.where(join(left, right), condition, graph)
+        met = met.pick([v for v in met.kinds if v == row or not v.startswith("__exists")])
+        met = Frame(cut(met.df), met.kinds)
+        ids = met.df.select(F.col(row).alias("__r"))
+        out = union(met, Frame(left.df.join(ids, F.col(row) == F.col("__r"), "left_anti"), left.kinds))
+        return out.pick([v for v in out.kinds if v != row])
 
     def minus(self, left: Frame, right: Frame) -> Frame:
         shared = sorted(left.kinds.keys() & right.kinds.keys())
-        if not shared:
-            return left
-        right = right.pick(shared)
-        if any(f.kinds[v].nullable for f in (left, right) for v in shared):
-            left, right = align(left, right)
-            overlap = lambda kinds: F.coalesce(*[F.when(F.col(f"`{v}`").isNotNull() & F.col(f"`__r_{v}`").isNotNull(), True) for v in shared], F.lit(False))
-            return join(left, right, "anti", overlap)
-        return join(left, right, "anti")
-
-    def extend(self, f: Frame, name: str, expr: Any, computed: dict | None = None) -> Frame:
+        return join(left, right.pick(shared), "anti", overlap=True) if shared else left
+
+    def extend(self, f: Frame, name: str, expr: Any, computed: dict | None = None, graph: Any = None) -> Frame:
         computed = dict(computed or {})
+        if not computed:
+            f = self.with_outer(f, variables_of(expr))
         for e in parts(expr, A.Exists):
-            f, column = self.marked(f, e, None)
+            f, column = self.marked(f, e, graph)
             computed[e] = (BOOLEAN, column)
         kind, c = self.scope(f.kinds, computed).compile(expr)
         return Frame(f.df.withColumn(name, c), {**f.kinds, name: kind.unbound()})
@@ -287,16 +338,10 @@ class Compiler:
             # from a fixed end only what can be reached from there
             back = start is None and end is not None
             walk = edges.select(F.col("b").alias("a"), F.col("a").alias("b")) if back else edges
-            first = walk if start is None and end is None else walk.where(fixed("a", end if back else start))
-            reach = new = cut(first)
-            for _ in range(MAX_ROUNDS):
-                ahead = new.select(F.col("a").alias("x"), F.col("b").alias("m")).join(walk.select(F.col("a").alias("m"), "b"), "m").select(F.col("x").alias("a"), "b").distinct()
-                new = cut(ahead.join(reach, ["a", "b"], "left_anti"))
-                if new.isEmpty():
-                    break
-                reach = cut(reach.unionByName(new))
+            if start is None and end is None:
+                reach = self.closure(edges)
             else:
-                raise RuntimeError(f"a path didn't close in {MAX_ROUNDS} rounds")
+                reach = self.frontier(walk, fixed("a", end if back else start))
             if back:
                 reach = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
         if sign in "*?":
@@ -305,6 +350,45 @@ class Compiler:
             reach = reach.unionByName(same.select("a", F.col("a").alias("b"))).distinct()
         return Frame(reach.select(F.col("a").alias(s), F.col("b").alias(o)), kinds)
 
+    @staticmethod
+    def closure(edges: DataFrame) -> DataFrame:
+        """All pairs (a, b) with a path from a to b, in as many rounds as the longest shortest path has binary digits.
+
+        Each pair carries the length of its shortest path. A round joins the pairs of length 2**k with all pairs of at
+        most that length, which gives all up to twice as long, each once for each halfway node of a shortest path.
+        Rounds are written next to each other and never copied.
+        """
+        found = [cut(edges.select("a", "b", F.lit(1).cast("long").alias("d")))]
+        for k in itertools.count():
+            reach = found[0]
+            for x in found[1:]:
+                reach = reach.unionByName(x)
+            half = found[-1].where(F.col("d") == 1 << k).select(F.col("a").alias("x"), F.col("b").alias("m"))
+            ahead = half.join(reach.select(F.col("a").alias("m"), "b", "d"), "m").groupBy(F.col("x").alias("a"), "b").agg((F.min("d") + (1 << k)).alias("d"))
+            new = cut(ahead.join(reach.select("a", "b"), ["a", "b"], "left_anti"))
+            if new.isEmpty():
+                return reach.select("a", "b")
+            found.append(new)
+
+    @staticmethod
+    def frontier(walk: DataFrame, start: Column) -> DataFrame:
+        """The pairs (a, b) with a at the start, level by level; ends, as each round reaches new nodes."""
+        new = cut(walk.where(start))
+        reach = [new]
+        for n in itertools.count(1):
+            ahead = new.select(F.col("a").alias("x"), F.col("b").alias("m")).join(walk.select(F.col("a").alias("m"), "b"), "m").select(F.col("x").alias("a"), "b").distinct()
+            every = reach[0]
+            for x in reach[1:]:
+                every = every.unionByName(x)
+            new = cut(ahead.join(every, ["a", "b"], "left_anti"))
+            if new.isEmpty():
+                return every
+            reach.append(new)
+            if n % 20 == 0:  # unions of long chains stay small
+                whole = cut(every.unionByName(new))
+                release(*reach[:-1])
+                reach = [whole]
+
     # queries
     def select(self, q: A.Query, graph: Any = None) -> Frame:
         f = self.pattern(q.where, graph)
@@ -318,7 +402,7 @@ class Compiler:
         names = [n for n in f.kinds if not n.startswith("__")] if q.select is None else [n for n, _ in q.select]
         for n, e in q.select or []:
             if e is not None:
-                f = self.extend(f, n, e, computed)
+                f = self.extend(f, n, e, computed, graph)
             elif n not in f.kinds:
                 f = Frame(f.df.withColumn(n, F.lit(None).cast("string")), {**f.kinds, n: NT.unbound()})
         keys = [k for e, up in q.order for k in sort_keys(*self.scope(f.kinds, computed).compile(e), up)] if q.order and not q.distinct else []
@@ -383,7 +467,8 @@ class Compiler:
             else:
                 value = F.sum_distinct(n) / F.count_distinct(n) if a.distinct else F.avg(n)
             value = F.coalesce(value.cast(terms.NATIVE[out.dt]), F.lit(0).cast(terms.NATIVE[out.dt]))
-            return (out, value) if native else (out, F.when(F.count(c) == F.count(n), value))
+            # an unbound or not numeric input is an error
+            return (out, value) if native and not kind.nullable else (out, F.when(F.count(F.lit(1)) == F.count(n), value))
         if a.name in ("MIN", "MAX", "SAMPLE"):
             g = F.max if a.name == "MAX" else F.min
             if kind.sort != "nt":
@@ -394,9 +479,17 @@ class Compiler:
         items = F.collect_set(texts) if a.distinct else F.collect_list(texts)
         return STRING, F.array_join(F.sort_array(items), a.separator)
 
-    def run(self, q: A.Query) -> DataFrame:
+    def frame(self, q: A.Query) -> Frame:
+        """The solutions of a SELECT query, with what each column holds."""
+        self.dataset(q)
+        return self.select(q)
+
+    def dataset(self, q: A.Query) -> None:
         if q.base_graphs or q.named_graphs:
             self.base, self.named = list(q.base_graphs), set(q.named_graphs)
+
+    def run(self, q: A.Query) -> DataFrame:
+        self.dataset(q)
         if q.form == "SELECT":
             return self.output(self.select(q))
         if q.form == "ASK":

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom import terms
+from quadloom.runtime import cut
 from quadloom.terms import NT, Kind
 
 
@@ -55,41 +56,77 @@ def union(left: Frame, right: Frame) -> Frame:
     return Frame(left.df.unionByName(right.df, allowMissingColumns=True), kinds)
 
 
-def join(left: Frame, right: Frame, how: str = "inner", condition=None) -> Frame:
+def _parts(f: Frame, loose: list[str]) -> list[tuple[frozenset[str], Frame]]:
+    """The rows of a frame by which of the variables ``loose`` are bound, with the bound ones; unbound columns are dropped."""
+    out = [(frozenset(), f)]
+    for v in loose:
+        split = []
+        for bound, g in out:
+            c = F.col(f"`{v}`")
+            if not f.kinds[v].nullable:
+                split.append((bound | {v}, g))
+                continue
+            split.append((bound | {v}, Frame(g.df.where(c.isNotNull()), {**g.kinds, v: g.kinds[v].unbound(False)})))
+            split.append((bound, Frame(g.df.where(c.isNull()).drop(v), {k: x for k, x in g.kinds.items() if k != v})))
+        out = split
+    return out
+
+
+def _apart(left: Frame, right: Frame, how: str, condition, loose: list[str], overlap: bool) -> Frame:
+    """A join on variables that may be unbound, as equi-joins between the rows of each side that have the same ones bound."""
+    lefts, rights = _parts(left, loose), _parts(right, loose)
+    if len(lefts) * len(rights) > 4:  # written once instead of being computed for each part
+        left, right = Frame(cut(left.df), left.kinds), Frame(cut(right.df), right.kinds)
+        lefts, rights = _parts(left, loose), _parts(right, loose)
+    firm = (left.kinds.keys() & right.kinds.keys()) - set(loose)
+    kinds = {**left.kinds, **{v: k.unbound(k.nullable or how == "left") for v, k in right.kinds.items() if v not in left.kinds}}
+    out = None
+
+    def add(f: Frame) -> None:
+        nonlocal out
+        out = f if out is None else union(out, f)
+
+    for lb, lf in lefts:
+        rest = lf
+        for rb, rf in rights:
+            if overlap and not firm and not lb & rb:
+                continue  # nothing bound in common: MINUS takes nothing away
+            mine = rf
+            if how in ("semi", "anti"):
+                keep = [v for v in rf.kinds if v in lf.kinds] if condition is None else list(rf.kinds)
+                mine = rf.pick(keep)
+            if how in ("inner", "left"):
+                add(join(lf, mine, "inner", condition))
+            elif how == "semi":
+                add(join(rest, mine, "semi", condition))
+            if how != "inner":
+                rest = join(rest, mine, "anti", condition)
+        if how in ("left", "anti"):
+            add(rest)
+    if how in ("semi", "anti"):
+        kinds = left.kinds
+    names = [v for v in kinds if v in out.kinds]
+    return Frame(out.df.select(*[f"`{v}`" for v in names]), {v: out.kinds[v] for v in names})
+
+
+def join(left: Frame, right: Frame, how: str = "inner", condition=None, overlap: bool = False) -> Frame:
     """``inner``, ``left``, ``semi`` or ``anti`` join on compatible shared variables.
 
     ``condition`` maps the kinds of both sides to an extra column condition. Where a shared variable may be
-    unbound on a side, rows are compatible if either is unbound; an inner join on one such variable is taken
-    apart into equi-joins of the bound and unbound rows.
+    unbound on a side, rows are compatible if either is unbound; such a join is taken apart into equi-joins of
+    the bound and unbound rows. With ``overlap`` only rows that share a bound variable match, as for MINUS.
     """
     left, right = align(left, right)
     shared = sorted(left.kinds.keys() & right.kinds.keys())
     loose = [v for v in shared if left.kinds[v].nullable or right.kinds[v].nullable]
-    if how == "inner" and condition is None and len(loose) == 1 and len(shared) >= 1:
-        v = loose[0]
-
-        def split(f: Frame, bound: bool) -> Frame | None:
-            if not bound and not f.kinds[v].nullable:
-                return None
-            c = F.col(f"`{v}`")
-            kept = Frame(f.df.where(c.isNotNull() if bound else c.isNull()), {**f.kinds, v: f.kinds[v].unbound(False)})
-            return kept if bound else Frame(kept.df.drop(v), {k: x for k, x in kept.kinds.items() if k != v})
-
-        lb, ln, rb, rn = split(left, True), split(left, False), split(right, True), split(right, False)
-        parts = [join(a, b) for a, b in ((lb, rb), (ln, rb), (lb, rn), (ln, rn)) if a is not None and b is not None]
-        out = parts[0]
-        for p in parts[1:]:
-            out = union(out, p)
-        return out
+    if loose:
+        return _apart(left, right, how, condition, loose, overlap)
     renamed = right.df
     for v in shared:
         renamed = renamed.withColumnRenamed(v, f"__r_{v}")
     on: Column | None = None
     for v in shared:
-        l, r = F.col(f"`{v}`"), F.col(f"`__r_{v}`")
-        c = l == r
-        if v in loose:
-            c = c | l.isNull() | r.isNull()
+        c = F.col(f"`{v}`") == F.col(f"`__r_{v}`")
         on = c if on is None else on & c
     kinds = {**left.kinds, **{v: k for v, k in right.kinds.items() if v not in left.kinds}}
     if condition is not None:
@@ -98,18 +135,10 @@ def join(left: Frame, right: Frame, how: str = "inner", condition=None) -> Frame
     name = {"inner": "inner", "left": "left_outer", "semi": "left_semi", "anti": "left_anti"}[how]
     if on is None:
         on = F.lit(True)
+        if how in ("semi", "anti"):
+            renamed = renamed.limit(1)  # whether there is any row decides
     df = left.df.join(renamed, on, name)
     if how in ("semi", "anti"):
         return Frame(df, left.kinds)
-    for v in shared:
-        if v in loose:
-            df = df.withColumn(v, F.coalesce(F.col(f"`{v}`"), F.col(f"`__r_{v}`")))
-        df = df.drop(f"__r_{v}")
-    out = {}
-    for v, k in kinds.items():
-        if v in shared:
-            both = left.kinds[v].nullable and right.kinds[v].nullable
-            out[v] = k.unbound(left.kinds[v].nullable if how == "left" else both)
-        else:
-            out[v] = k.unbound(k.nullable or (how == "left" and v not in left.kinds))
-    return Frame(df, out)
+    df = df.drop(*[f"__r_{v}" for v in shared])
+    return Frame(df, {v: k.unbound(k.nullable or (how == "left" and v not in left.kinds)) for v, k in kinds.items()})

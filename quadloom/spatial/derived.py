@@ -78,3 +78,13 @@ def of_quads(quads: DataFrame) -> DataFrame:
 def added(quads: DataFrame) -> DataFrame:
     """Quads (g, s, p, o) with those derived from them."""
     return quads.select("g", "s", "p", "o").unionByName(of_quads(quads))
+
+
+def features(quads: DataFrame) -> DataFrame:
+    """Quads of the shape features of all WKT literals of quads (g, s, p, o), in the graphs of the literals. Unreadable and empty texts have none."""
+    o = F.col("o")
+    texts = quads.where(terms.datatype(NT, o) == WKT_LITERAL).select(F.struct("g", "s").alias("k"), terms.lexical(NT, o).alias("t")).distinct()
+    found = geometry.shape_features(texts, "k", "t")
+    names = ["".join(w.capitalize() for w in c.split("_")) for c in geometry.FEATURES]
+    cells = F.array(*[F.struct(F.lit(f"<{VOCAB}shape2d/{n}>").alias("p"), F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"^^xsd:double')).alias("o")) for n, c in zip(names, geometry.FEATURES, strict=True)])
+    return found.select("k.g", "k.s", F.explode(cells).alias("x")).where("x.o IS NOT NULL").select("g", "s", "x.p", "x.o")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadloom.runtime import cut
 from quadloom.spatial import hilbert, wkt
 
 TILE, MAX_LEVELS, MIN_AREA = 512, 20, 4.0
@@ -23,7 +24,7 @@ def without_crs(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """All coordinates of a text in order."""
-    return F.regexp_extract_all(without_crs(text), F.lit(r"([-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"), 1).cast("array<double>")
+    return F.regexp_extract_all(without_crs(text), F.lit(r"([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"), 1).cast("array<double>")
 
 
 def bounds(text: Column) -> Column:
@@ -107,8 +108,8 @@ def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ok boolean, n_polygons int, n_rings int, n_points int, x0 double, y0 double, x1 double, y1 double, degenerate boolean")
 
 
-def meets_boxes(rings: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which boxes, as (n, 2) lower and upper corners, share a point with a polygon: an edge meets the box, or the polygon has it inside."""
+def _edges_and_corners(rings: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For boxes, as (n, 2) lower and upper corners: whether an edge of a polygon meets them, and whether the lower corner is inside."""
     x1, y1, x2, y2 = wkt.edges(rings).T
     (xl, yl), (xh, yh) = low.T[:, :, None], high.T[:, :, None]
     near = (np.minimum(x1, x2) <= xh) & (np.maximum(x1, x2) >= xl) & (np.minimum(y1, y2) <= yh) & (np.maximum(y1, y2) >= yl)
@@ -116,7 +117,19 @@ def meets_boxes(rings: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> n
     a, b, c, d = (x2 - x1) * (yl - y1), (x2 - x1) * (yh - y1), (y2 - y1) * (xl - x1), (y2 - y1) * (xh - x1)
     edge = near & (np.minimum(a, b) <= np.maximum(c, d)) & (np.maximum(a, b) >= np.minimum(c, d))
     crossings = ((y1 > yl) != (y2 > yl)) & ((a > c) == (y2 > y1))
-    return edge.any(axis=1) | (crossings.sum(axis=1) % 2 == 1)
+    return edge.any(axis=1), crossings.sum(axis=1) % 2 == 1
+
+
+def meets_boxes(rings: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which boxes share a point with a polygon: an edge meets the box, or the polygon has it inside."""
+    edge, inside = _edges_and_corners(rings, low, high)
+    return edge | inside
+
+
+def holds_boxes(rings: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which boxes lie inside a polygon without touching its border."""
+    edge, inside = _edges_and_corners(rings, low, high)
+    return inside & ~edge
 
 
 def tiles_of(found: list[list[np.ndarray]], size: int = TILE, exact: bool = True) -> Iterator[tuple[int, int]]:
@@ -212,23 +225,42 @@ def in_ranges(positions: DataFrame, column: str, ranges: list[tuple[int, int]])
     return positions.where(F.col(column).between(lows[0], highs[-1]) & hit(F.col(column)))
 
 
-def merge_ranges(df: DataFrame, low: str, high: str, keys: Sequence[str] = (), cell: int = 1 << 20) -> DataFrame:
+def merge_ranges(df: DataFrame, low: str, high: str, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, low, high)``: overlapping or adjacent inclusive ranges merged. Ranges whose end comes before their start and nulls fall out.
 
-    Gaps and islands in two steps: islands of each cell of the line first, in parallel, then over the islands that are left.
+    Gaps and islands over range partitions: what reaches in from the partitions before, and how many islands start
+    there, are small tables, so the ranges of one key, or all without keys, are the work of many tasks.
     """
     keys = list(keys)
-
-    def islands(rows: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("__lo", "__hi") if by else Window.partitionBy(F.lit(0)).orderBy("__lo", "__hi")
-        before = F.max("__hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        marked = rows.withColumn("__new", F.when(before.isNull() | (F.col("__lo") > before + 1), 1).otherwise(0))
-        numbered = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return numbered.groupBy(*by, "__island").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")).drop("__island")
-
-    rows = df.where(F.col(low) <= F.col(high)).select(*keys, F.col(low).cast("long").alias("__lo"), F.col(high).cast("long").alias("__hi"), F.floor(F.col(low) / cell).alias("__cell"))
-    local = islands(rows, [*keys, "__cell"]).drop("__cell")
-    return islands(local, keys).select(*keys, F.col("__lo").alias("low"), F.col("__hi").alias("high"))
+    rows = df.where(F.col(low) <= F.col(high)).select(*keys, F.col(low).cast("long").alias("__lo"), F.col(high).cast("long").alias("__hi"))
+    ranged = cut(rows.repartitionByRange(*keys, "__lo").withColumn("__part", F.spark_partition_id()))  # written: the ids must not change
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__part").orderBy("__lo", "__hi")
+
+    def beside(left: DataFrame, small: DataFrame, column: str) -> DataFrame:
+        """``left`` with a column of a table that has one row for each key and partition."""
+        named = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), column)
+        on = F.col("__part") == F.col("__p")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        return left.join(named, on).drop("__p", *[f"__k{i}" for i in range(len(keys))])
+
+    ends = ranged.groupBy(*keys, "__part").agg(F.max("__hi").alias("__end")).withColumn("__reach", F.max("__end").over(earlier))
+    before = F.greatest(F.col("__reach"), F.max("__hi").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = beside(ranged, ends, "__reach").withColumn("__before", before)
+    marked = cut(marked.withColumn("__new", F.when(F.col("__before").isNull() | (F.col("__lo") > F.col("__before") + 1), 1).otherwise(0)))
+    starts = marked.groupBy(*keys, "__part").agg(F.sum("__new").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    island = F.col("__offset") + F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = beside(marked, starts, "__offset").withColumn("__island", island)
+    return numbered.groupBy(*keys, "__island").agg(F.min("__lo").alias("low"), F.max("__hi").alias("high")).drop("__island")
+
+
+def in_merged(positions: DataFrame, column: str, ranges: DataFrame, cell: int = 1 << 20) -> DataFrame:
+    """Rows whose position lies in one of many disjoint ranges (low, high): an equi-join on cells of the line, which longer ranges repeat for."""
+    spread = ranges.select("low", "high", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor(F.col("high") / cell))).alias("__cell"))
+    here = F.floor(F.col(column) / cell)
+    return positions.join(spread, (here == F.col("__cell")) & F.col(column).between(F.col("low"), F.col("high")), "left_semi")
 
 
 def _clean(ring: np.ndarray) -> np.ndarray:

@@ -85,32 +85,27 @@ def hilbert_point(index: Column) -> Column:
     return _decode_udf(index.cast("long"))
 
 
-def cover_box(x0: int, y0: int, x1: int, y1: int, budget: int = 4096, bits: int = BITS) -> list[tuple[int, int]]:
-    """Merged inclusive position ranges whose cells cover the box exactly, or loosely once ``budget`` cells are in use.
+def _cover(meets, inside, level: int, budget: int, bits: int) -> list[tuple[int, int]]:
+    """Merged inclusive position ranges of the squares that meet a shape, by quadtree descent from the square of side ``2**level``.
 
-    Quadtree descent: an aligned square of side 2**k is one run of 4**k positions. Squares inside the box are
-    taken whole, squares outside dropped, others split; beyond the budget a split square is taken whole,
-    which never loses a cell.
+    An aligned square of side 2**k is one run of 4**k positions. Squares inside the shape are taken whole, squares
+    outside dropped, others split down to single cells. Beyond ``budget`` squares those that would be split are
+    taken whole: no cell is lost, but some outside come along, so callers test what they find.
     """
-    if x1 < x0 or y1 < y0 or x1 < 0 or y1 < 0:
-        return []
-    x0, y0 = max(x0, 0), max(y0, 0)
-    level = max(x1, y1).bit_length()
-    todo, taken = [(0, 0, level)], []
-    while todo:
-        split = []
-        for cx, cy, k in todo:
-            side = 1 << k
-            if cx > x1 or cy > y1 or cx + side - 1 < x0 or cy + side - 1 < y0:
-                continue
-            if cx >= x0 and cy >= y0 and cx + side - 1 <= x1 and cy + side - 1 <= y1 or k == 0:
-                taken.append((cx, cy, k))
-            else:
-                split.append((cx, cy, k))
-        if len(taken) + 4 * len(split) > budget:
-            taken += split
+    todo, taken = np.zeros((1, 2), dtype=np.int64), []
+    for k in range(level, -1, -1):
+        side = np.int64(1) << k
+        low = todo * side
+        met = meets(low, low + side - 1)
+        todo, low = todo[met], low[met]
+        whole = inside(low, low + side - 1) if k else np.ones(len(todo), dtype=bool)
+        last = len(taken) + 4 * int((~whole).sum()) > budget
+        stay = np.ones_like(whole) if last else whole
+        taken += [(int(x), int(y), k) for x, y in low[stay]]
+        todo = todo[~stay]
+        if not len(todo):
             break
-        todo = [(cx + dx * (1 << k - 1), cy + dy * (1 << k - 1), k - 1) for cx, cy, k in split for dx in (0, 1) for dy in (0, 1)]
+        todo = (2 * todo[:, None, :] + np.array([(0, 0), (0, 1), (1, 0), (1, 1)])).reshape(-1, 2)
     if not taken:
         return []
     cells = np.array(taken, dtype=np.int64)
@@ -123,3 +118,30 @@ def cover_box(x0: int, y0: int, x1: int, y1: int, budget: int = 4096, bits: int
         else:
             merged.append((lo, hi))
     return merged
+
+
+def cover_box(x0: int, y0: int, x1: int, y1: int, budget: int = 4096, bits: int = BITS) -> list[tuple[int, int]]:
+    """Merged inclusive position ranges whose cells cover the box exactly, or loosely once ``budget`` squares are in use."""
+    if x1 < x0 or y1 < y0 or x1 < 0 or y1 < 0:
+        return []
+    a, b = np.array([max(x0, 0), max(y0, 0)]), np.array([x1, y1])
+    return _cover(lambda low, high: ((low <= b) & (high >= a)).all(axis=1), lambda low, high: ((low >= a) & (high <= b)).all(axis=1), max(x1, y1).bit_length(), budget, bits)
+
+
+def cover_polygon(polygons: list[list[np.ndarray]], budget: int = 4096, bits: int = BITS) -> list[tuple[int, int]]:
+    """The same for the integer points in or on the border of polygons, as of ``wkt.polygons``."""
+    from quadloom.spatial import geometry, wkt
+
+    if not polygons:
+        return []
+    x0, y0, x1, y1 = wkt.extent(polygons)
+    if x1 < 0 or y1 < 0:
+        return []
+
+    def meets(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduce([geometry.meets_boxes(p, low.astype(np.float64), high.astype(np.float64)) for p in polygons])
+
+    def inside(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduce([geometry.holds_boxes(p, low.astype(np.float64), high.astype(np.float64)) for p in polygons])
+
+    return _cover(meets, inside, int(max(x1, y1)).bit_length(), budget, bits)

@@ -7,16 +7,17 @@ import re
 import numpy as np
 
 _PREFIX = re.compile(r"\s*(?:<[^>]*>|SRID=\d+;)\s*", re.I)
-_HEAD = re.compile(r"\s*(MULTIPOLYGON|POLYGON)\s*(?:ZM|Z|M)?\s*(EMPTY\s*$|(?=\())", re.I)
+_HEAD = re.compile(r"\s*(MULTIPOLYGON|POLYGON)\s*(ZM|Z|M)?\s*(EMPTY\s*$|(?=\())", re.I)
 _NUM = r"[-+]?(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][-+]?\d++)?"  # possessive: a broken text fails in one pass
-_RING = re.compile(rf"\(\s*+{_NUM}\s++{_NUM}\s*+(?:,\s*+{_NUM}\s++{_NUM}\s*+)*+\)")
+#: A ring by the numbers of a point: x and y, and further ones that are read over.
+_RING = {n: re.compile(rf"\(\s*+{_NUM}(?:\s++{_NUM}){{{n - 1}}}\s*+(?:,\s*+{_NUM}(?:\s++{_NUM}){{{n - 1}}}\s*+)*+\)") for n in (2, 3, 4)}
 _ONE = re.compile(r"\(\s*R(?:\s*,\s*R)*\s*\)$")
 _MANY = re.compile(r"\(\s*\(\s*R(?:\s*,\s*R)*\s*\)(?:\s*,\s*\(\s*R(?:\s*,\s*R)*\s*\))*\s*\)$")
 _PART = re.compile(r"\(\s*R(?:\s*,\s*R)*\s*\)")
 
 
 def polygons(text: str | None) -> list[list[np.ndarray]] | None:
-    """Polygons as lists of rings (outer first), each an (n, 2) array closed at the end.
+    """Polygons as lists of rings (outer first), each an (n, 2) array closed at the end; Z and M are left out.
 
     ``None`` for null or unreadable text (unknown type, truncated, single numbers, a ring that is not
     closed or has fewer than four points); an empty list for EMPTY.
@@ -28,15 +29,15 @@ def polygons(text: str | None) -> list[list[np.ndarray]] | None:
     m = _HEAD.match(text)
     if not m:
         return None
-    if m[2]:
+    if m[3]:
         return []
-    body, rings = text[m.end() :].strip(), []
+    body, rings, n = text[m.end() :].strip(), [], 2 + len(m[2] or "")
 
     def take(found: re.Match) -> str:
-        rings.append(np.array(found[0][1:-1].replace(",", " ").split(), dtype=np.float64).reshape(-1, 2))
+        rings.append(np.array(found[0][1:-1].replace(",", " ").split(), dtype=np.float64).reshape(-1, n)[:, :2])
         return "R"
 
-    skeleton = _RING.sub(take, body)
+    skeleton = _RING[n].sub(take, body)
     multi = m[1].upper() == "MULTIPOLYGON"
     if not (_MANY if multi else _ONE).match(skeleton):
         return None

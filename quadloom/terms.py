@@ -122,7 +122,7 @@ def lexical(kind: Kind, c: Column) -> Column:
     if kind.sort == "iri":
         return F.concat(F.lit(kind.template), c.cast("string")) if kind.template else c.cast("string")
     if kind.dt == "xsd:dateTime":
-        return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+        return F.concat(F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
     if kind.dt == "xsd:decimal":
         return decimal_text(c)
     return c.cast("string")

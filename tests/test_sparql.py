@@ -2,13 +2,14 @@
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from quadloom.engine import Engine
 from quadloom.sources import ntriples, quads, turtle
 from quadloom.sources.mapped import MappedSource, Table
-from quadloom.sparql import compiler
+from quadloom.sparql.frame import Frame, join
 from quadloom.sparql.parser import SparqlSyntaxError, parse
-from quadloom.terms import IRI
+from quadloom.terms import INTEGER, IRI, NT
 
 DATA = r"""
 <urn:a> <urn:p> "1"^^<http://www.w3.org/2001/XMLSchema#int> .
@@ -124,9 +125,10 @@ def test_turtle(spark, tmp_path):
     (tmp_path / "a.ttl").write_text('@prefix e: <urn:e:> .\n@base <urn:> .\ne:a a e:T ; e:p 1, 2.5, true, "x"@EN, """long\n"q" """ ; e:q [ e:r ( e:b _:n ) ] .\n<urn:e:b> e:p _:n .', encoding="utf-8")
     (tmp_path / "b.ttl").write_text("@prefix e: <urn:e:> .\n_:n e:p e:c .")
     (tmp_path / "c.ttl").write_text("<urn:x> <urn:y> ?var .")
+    (tmp_path / "d.ttl").write_text('<urn:x> <urn:says> "@prefix e: <urn:z:> . @base" .')
     found, bad = turtle.load(spark, str(tmp_path))
     got = rows(found)
-    assert len([r for r in got if r[1] == "<urn:e:a>"]) == 7 and len(got) == 14
+    assert len([r for r in got if r[1] == "<urn:e:a>"]) == 7 and len(got) == 15 and '"@prefix e: <urn:z:> . @base"^^xsd:string' in {r[3] for r in got}
     assert '"long\\n\\"q\\" "^^xsd:string' in {r[3] for r in got} and '"2.5"^^xsd:decimal' in {r[3] for r in got}
     labels = {r[3] for r in got if r[1] == "<urn:e:b>"} | {r[1] for r in got if r[3] == "<urn:e:c>"}
     assert len(labels) == 2  # equal labels of two files are two nodes
@@ -150,8 +152,77 @@ def test_exists_as_value_keeps_the_outer_filter(engine):
     assert rows(engine.sparql(f"SELECT ?s ?e WHERE {{ ?s <urn:next> ?o BIND({test} AS ?e) }}")) == [("<urn:s1>", False), ("<urn:s2>", False), ("<urn:s3>", True), ("<urn:s4>", True)]
 
 
-def test_describe_follows_long_chains(spark, monkeypatch):
-    monkeypatch.setattr(compiler, "MAX_ROUNDS", 3)
+def test_describe_follows_long_chains(spark):
     chain = [("<urn:x-graph:default>", "<urn:list>" if i == 0 else f"_:n{i}", "<urn:rest>", f"_:n{i + 1}") for i in range(6)]
     found = Engine(quads.QuadSource(spark.createDataFrame(chain, "g string, s string, p string, o string"))).sparql("DESCRIBE <urn:list>")
     assert rows(found) == sorted((q[1:] for q in chain), key=repr)
+
+
+def test_exists_sees_outer_variables_below_its_top_filter(engine):
+    q = "SELECT ?s WHERE {{ ?s <urn:next> ?o FILTER {} EXISTS {{ {{ ?x <urn:next> ?y FILTER(?y = ?o && ?x != ?s) }} UNION {{ ?s <urn:nothing> ?z }} }} }}"
+    assert rows(engine.sparql(q.format(""))) == [("<urn:s3>",), ("<urn:s4>",)]
+    assert rows(engine.sparql(q.format("NOT"))) == [("<urn:s1>",), ("<urn:s2>",)]
+    nested = "SELECT ?s WHERE { ?s <urn:next> ?o FILTER EXISTS { ?o <urn:next> ?y FILTER NOT EXISTS { ?y <urn:next> ?z FILTER(?z = ?s) } } }"
+    assert rows(engine.sparql(nested)) == [("<urn:s4>",)]
+
+
+def test_exists_in_the_condition_of_optional(engine):
+    q = "SELECT ?s ?q WHERE { ?s <urn:next> ?o OPTIONAL { ?o <urn:next> ?q FILTER(?q = <urn:s2> || EXISTS { ?s <urn:next> ?w FILTER(?w = ?q || ?q = <urn:s1>) }) } }"
+    assert rows(engine.sparql(q)) == [("<urn:s1>", None), ("<urn:s2>", "<urn:s1>"), ("<urn:s3>", "<urn:s2>"), ("<urn:s4>", "<urn:s2>")]
+
+
+def test_exists_in_bind_stays_in_its_graph(engine):
+    q = "SELECT ?s ?e WHERE { GRAPH <urn:g1> { ?s <urn:p> ?o BIND(EXISTS { ?s <urn:p> <urn:b> } AS ?e) } }"
+    assert rows(engine.sparql(q)) == [("<urn:a>", True), ("<urn:d>", False)]
+
+
+def test_sum_of_an_unbound_value_is_an_error(spark):
+    df = spark.createDataFrame([(1, "x", 5.0), (2, "x", None), (3, "y", 1.0), (4, "y", 2.0)], "k long, name string, v double")
+    e = Engine(MappedSource(spark, [Table("t", ("k",))], lambda _: df))
+    q = "SELECT ?n (SUM(?v) AS ?s) (AVG(?v) AS ?a) (COUNT(?v) AS ?c) WHERE { ?x c:name ?n OPTIONAL { ?x c:v ?v } } GROUP BY ?n"
+    assert rows(e.sparql(q)) == [("x", None, None, 1), ("y", 3.0, 1.5, 2)]
+
+
+def test_text_of_moments_keeps_fractions(spark):
+    df = spark.sql("SELECT 1 AS k, TIMESTAMP '2024-01-02 03:04:05.670000' AS t UNION ALL SELECT 2, TIMESTAMP '2024-01-02 03:04:00'")
+    e = Engine(MappedSource(spark, [Table("t", ("k",))], lambda _: df))
+    assert rows(e.sparql("SELECT (STR(?t) AS ?s) { ?x c:t ?t }")) == [("2024-01-02T03:04:00Z",), ("2024-01-02T03:04:05.67Z",)]
+
+
+LOOSE = [("<urn:k>", '"1"^^xsd:int', None), ("<urn:k>", None, '"7"^^xsd:int'), ("<urn:l>", '"2"^^xsd:int', '"8"^^xsd:int'), ("<urn:m>", None, None)]
+OTHER = [("<urn:k>", '"1"^^xsd:int', '"7"^^xsd:int'), ("<urn:l>", None, '"9"^^xsd:int'), (None, '"2"^^xsd:int', None)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "semi", "anti", "minus"])
+def test_joins_on_unbound_variables(spark, how):
+    kinds = {v: NT.unbound() for v in "abc"}
+    left, right = (Frame(spark.createDataFrame([(*r, i) for i, r in enumerate(x)], f"a string, b string, c string, {n} int"), {**kinds, n: INTEGER}) for x, n in ((LOOSE, "i"), (OTHER, "j")))
+    fits = lambda x, y: all(p is None or q is None or p == q for p, q in zip(x, y, strict=True))
+    meets = lambda x, y: fits(x, y) and (how != "minus" or any(p and q for p, q in zip(x, y, strict=True)))
+    pairs = [(i, j) for i, x in enumerate(LOOSE) for j, y in enumerate(OTHER) if meets(x, y)]
+    alone = [i for i in range(len(LOOSE)) if i not in {i for i, _ in pairs}]
+    got = join(left, right, "anti" if how == "minus" else how, overlap=how == "minus")
+    if how in ("inner", "left"):
+        both = lambda i, j: tuple(p or q for p, q in zip(LOOSE[i], OTHER[j], strict=True))
+        want = [(*both(i, j), i, j) for i, j in pairs] + ([(*LOOSE[i], i, None) for i in alone] if how == "left" else [])
+        assert rows(got.df.select("a", "b", "c", "i", "j")) == sorted(want, key=repr)
+    else:
+        assert sorted(r.i for r in got.df.collect()) == (sorted({i for i, _ in pairs}) if how == "semi" else alone)
+    if how in ("inner", "left", "semi"):
+        tight = join(left, right, how, lambda _: F.col("j") == 1)
+        want = {i for i, j in pairs if j == 1}
+        assert {r.i for r in tight.df.collect() if how == "semi" or r.j is not None} == want
+
+
+def test_long_chains_close(spark):
+    n = 70
+    chain = [("<urn:x-graph:default>", f"<urn:{i}>", "<urn:rest>", f"<urn:{i + 1}>") for i in range(n)]
+    e = Engine(quads.QuadSource(spark.createDataFrame(chain, "g string, s string, p string, o string")))
+    assert e.sparql("SELECT ?x ?y { ?x <urn:rest>+ ?y }").count() == n * (n + 1) // 2
+
+
+def test_stores_are_sets_without_a_shuffle(spark, engine, tmp_path):
+    quads.write(engine.source.df, str(tmp_path / "s"))
+    e = Engine.store(spark, str(tmp_path / "s"))
+    plan = e.sparql("SELECT ?s ?o { ?s <urn:next> ?o }")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and rows(e.sparql("SELECT ?s ?o { ?s <urn:next> ?o }")) == rows(engine.sparql("SELECT ?s ?o { ?s <urn:next> ?o }"))

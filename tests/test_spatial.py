@@ -9,6 +9,7 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quadloom.engine import Engine
 from quadloom.sources import quads
 from quadloom.spatial import derived, geometry, hilbert, nearby, wkt
 
@@ -151,7 +152,7 @@ def test_num_scales(spark):
 def test_merge_ranges(spark):
     r = random.Random(2)
     spans = [(k, a, a + r.randint(0, 30)) for k in (1, 2) for a in (r.randint(0, 2000) for _ in range(120))] + [(1, 5, 2), (1, None, 3)]
-    got = rows(geometry.merge_ranges(spark.createDataFrame(spans, "k long, low long, high long"), "low", "high", ["k"], cell=50))
+    got = rows(geometry.merge_ranges(spark.createDataFrame(spans, "k long, low long, high long"), "low", "high", ["k"]))
     want = []
     for k in (1, 2):
         cells = sorted({c for q, a, b in spans if q == k and a is not None for c in range(a, b + 1)})
@@ -216,3 +217,95 @@ def test_derived_quads(spark, tmp_path):
             want.add(("<urn:x-graph:spatial>", "<urn:a>", f"<urn:x-graph:hal/hilbertCorner{n}>", f'"{h}"^^xsd:long'))
     assert rows(quads.read(spark, str(tmp_path / "store")).quads()) == sorted(want, key=repr)
     assert derived.of_quads(source).count() == len(want) - len(data)
+
+
+def test_ranges_without_keys(spark):
+    r = random.Random(3)
+    spans = [(a, a + r.randint(0, 9)) for a in (r.randint(0, 5000) for _ in range(800))]
+    df = spark.createDataFrame(spans, "low long, high long").repartition(5)
+    covered, want = sorted({v for a, b in spans for v in range(a, b + 1)}), []
+    for v in covered:
+        if want and want[-1][1] == v - 1:
+            want[-1][1] = v
+        else:
+            want.append([v, v])
+    merged = geometry.merge_ranges(df, "low", "high")
+    assert rows(merged) == sorted(((a, b) for a, b in want), key=repr)
+    assert sorted(r.id for r in geometry.in_merged(spark.range(5100), "id", merged, cell=7).collect()) == [v for v in covered if v < 5100]
+
+
+BROKEN = ["POLYGON ((0 0, 40 0, 40 40, 0 40, 0 0), (10 10, 30 10, 30 30, 10 30, 10 10))", "POLYGON ((3.5 1, 90 60, 20 17.25, 3.5 1))", "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 0)), ((50 50, 70 52, 60 75, 50 50)))"]
+
+
+@pytest.mark.parametrize("text", BROKEN)
+def test_cover_polygon_is_the_polygon(text):
+    found = wkt.polygons(text)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(100), np.arange(100)))
+    inside = np.logical_or.reduce([wkt.contains(p, x, y) for p in found])
+    for budget in (10**6, 8):
+        ranges = hilbert.cover_polygon(found, budget)
+        cells = {p for lo, hi in ranges for p in zip(*map(np.ndarray.tolist, hilbert.decode(np.arange(lo, min(hi, lo + 40000) + 1))), strict=True)}
+        want = set(zip(x[inside].tolist(), y[inside].tolist(), strict=True))
+        assert cells == want if budget > 8 else cells >= want
+    assert hilbert.cover_polygon([]) == []
+
+
+@pytest.mark.parametrize(("text", "points"), [("POLYGON Z ((0 0 1, 4 0 1, 4 4 1, 0 0 1))", 4), ("polygon zm((0 0 1 2,4 0 1 2,4 4 1 2,0 0 1 2))", 4), ("POLYGON M ((0 0 5, 4 0 6, 4 4 7, 0 0 8))", 4), ("POLYGON Z ((0 0, 4 0, 4 4, 0 0))", None), ("POLYGON ((.5 .5, 3 .5, 3 3., .5 .5))", 4)])
+def test_wkt_dimensions_and_numbers(text, points):
+    found = wkt.polygons(text)
+    assert found is None if points is None else [r.shape for p in found for r in p] == [(points, 2)]
+
+
+def test_bounds_read_all_numbers(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([("POLYGON ((.5 .25, 3. .25, 3 4e1, .5 .25))",)], "t string").select(geometry.bounds(F.col("t")).alias("b")).select("b.*").collect()
+    assert tuple(got[0]) == (0.5, 0.25, 3.0, 40.0)
+
+
+def test_hot_cells_are_salted(spark, monkeypatch):
+    points = [(i, 1, float(i % 7), float(i % 5)) for i in range(60)] + [(100 + i, 2, 1000.0 * i, 0.0) for i in range(5)]
+    df = spark.createDataFrame(points, "geo_id long, g long, x2 double, y2 double")
+    plain = rows(nearby.pairs_within(df, 2))
+    monkeypatch.setattr(nearby, "HOT_CELL", 8)
+    want = sorted(((a[0], b[0]) for a, b in itertools.combinations(points, 2) if a[1] == b[1] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 4), key=repr)
+    assert rows(nearby.pairs_within(df, 2)) == plain == want
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_coverage_divides_to_few_edges(spark, most):
+    r = random.Random(7)
+    angle = np.sort(np.random.default_rng(7).uniform(0, 2 * np.pi, 400))
+    radius = 300 + np.random.default_rng(8).uniform(-120, 120, 400)
+    ring = [(round(float(500 + d * np.cos(a)), 2), round(float(500 + d * np.sin(a)), 2)) for a, d in zip(angle, radius, strict=True)]
+    text = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]]) + "), (480 480, 520 480, 520 520, 480 520, 480 480))"
+    points = [(i, 1, float(r.randint(0, 2000)), float(r.randint(0, 2000))) for i in range(3000)] + [(9000 + i, 1, 2 * x, 2 * y) for i, (x, y) in enumerate(ring)]
+    found = wkt.polygons(text)[0]
+    inside = wkt.contains(found, np.array([p[2] for p in points]) / 2, np.array([p[3] for p in points]) / 2)
+    want = {p[0] for p, ok in zip(points, inside, strict=True) if ok}
+    df = spark.createDataFrame(points, "geo_id long, g long, x2 double, y2 double")
+    regions = spark.createDataFrame([(7, 1, text)], "region long, g long, as_wkt string")
+    assert {x.geo_id for x in nearby.points_in_regions(df, regions, most=most).collect()} == want
+    if most == 4:
+        cells = nearby.coverage(regions, most=most).where("NOT inner").collect()
+        assert all(len(c.edges) <= most or c.step == nearby.STEPS[0] for c in cells)
+
+
+def test_region_filter_uses_tiles_and_misses_nothing(spark, tmp_path):
+    r = random.Random(5)
+    texts = [f"POLYGON (({x} {y}, {x + w} {y + 3}, {x + w} {y + h}, {x} {y}))" for x, y, w, h in ((r.randint(0, 4000), r.randint(0, 4000), r.choice([5, 900]), r.choice([7, 700])) for _ in range(150))]
+    texts += ["POLYGON ((0 0, 9000 0, 9000 9000, 0 9000, 0 0))", "POLYGON ((1023 1023, 1024 1023, 1024 1024, 1023 1023))", "POLYGON ((1 1, 2", "POLYGON EMPTY"]
+    wkt_type = "<http://www.opengis.net/ont/geosparql#wktLiteral>"
+    data = [("<urn:x-graph:default>", f"<urn:s{i}>", "<urn:wkt>", f'"{t}"^^{wkt_type}') for i, t in enumerate(texts)]
+    quads.write(spark.createDataFrame(data, "g string, s string, p string, o string"), str(tmp_path / "s"), spatial=True)
+    indexed = Engine.store(spark, str(tmp_path / "s"))
+    plain = Engine(quads.QuadSource(indexed.source.df))
+    for region in ("POLYGON ((1024 1024, 1500 1024, 1400 2100, 1024 1024))", "POLYGON ((0 0, 1 0, 1 1, 0 0))", "MULTIPOLYGON (((10 10, 20 10, 20 20, 10 10)), ((3000 3000, 3600 3000, 3600 3600, 3000 3000)))", "broken"):
+        for args in (f'?w, "{region}"^^geo:wktLiteral', f'"{region}"^^geo:wktLiteral, ?w', f'?w, "{region}"^^geo:wktLiteral, 1'):
+            q = f"SELECT ?s {{ ?s <urn:wkt> ?w FILTER(geof:sfIntersects({args})) }}"
+            df = indexed.sparql(q)
+            assert rows(df) == rows(plain.sparql(q))
+        want = {f"<urn:s{i}>" for i, t in enumerate(texts) if wkt.polygons(t) and wkt.polygons(region) and wkt.intersects(wkt.polygons(t), wkt.polygons(region))}
+        assert {x.s for x in indexed.sparql(f'SELECT ?s {{ ?s <urn:wkt> ?w FILTER(geof:sfIntersects(?w, "{region}"^^geo:wktLiteral)) }}').collect()} == want
+    plan = indexed.sparql('SELECT ?s { ?s ?p ?w FILTER(geof:sfIntersects(?w, "POLYGON ((0 0, 9 0, 9 9, 0 0))"^^geo:wktLiteral)) }')._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "tx" in plan
