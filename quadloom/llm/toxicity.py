@@ -68,12 +68,17 @@ def _plain() -> dict[int, str | None]:
 
 
 _PLAIN = _plain()
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _MOJIBAKE = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
 _TIMING = re.compile(r"^[^\n]*\d\d:\d\d[^\n]*->[^\n]*$", re.M)
 _NUMBER = re.compile(r"^\s*\d+\s*$", re.M)
 _MARKUP = re.compile(r"<[^<>\n]*>|\{[\\][^{}\n]*\}")
 _SPACED = re.compile(r"(?<![a-z0-9@$!*])(?:[a-z0-9@$*][ ._-]){2,}[a-z0-9@$*](?![a-z0-9@$*])")
-_WORD = re.compile(r"[a-z0-9@$!|+*\u20ac]*[a-z*][a-z0-9@$!|+*\u20ac]*|[0-9]+|\n")
+_WORD = re.compile(r"[a-z0-9@$!|+*\u20ac]*[a-z*][a-z0-9@$!|+*\u20ac]*|[0-9]+|\x00")
+
+
+def _plainly(found: re.Match) -> str:
+    return found[0].translate(_PLAIN)
 
 
 def _bytes(c: str) -> bytes:
@@ -110,7 +115,7 @@ class _Memo(dict):
     def __missing__(self, word: str) -> str:
         if len(self) > 300_000:
             self.clear()
-        self[word] = folded = "\n" if word == "\n" else fold_word(word)
+        self[word] = folded = word if word == "\x00" else fold_word(word)
         return folded
 
 
@@ -125,15 +130,16 @@ def cues(text: str | None) -> list[tuple[str, ...]]:
         text = _MOJIBAKE.sub(_mended, text)
         if "\u00c3" in text or "\u00c2" in text:
             text = _MOJIBAKE.sub(_mended, text)
-    text = text.lower().translate(_PLAIN)
+    text = text.lower()
+    if not text.isascii():
+        text = _FOREIGN.sub(_plainly, text)
     if "<" in text or "{" in text:
         text = _MARKUP.sub("", text)
-    out = []
-    for part in _TIMING.split(text):
-        words = [w for w in map(_folded.__getitem__, _WORD.findall(_SPACED.sub(_join, _NUMBER.sub("", part)))) if w != "\n" and w]
-        if words:
-            out.append(tuple(words))
-    return out
+    # timings become the only NUL characters, so that the whole text is cut into words at once
+    text = _SPACED.sub(_join, _NUMBER.sub("", _TIMING.sub("\x00", text.replace("\x00", " "))))
+    words = list(filter(None, map(_folded.__getitem__, _WORD.findall(text))))  # the memo's strings, so that a word is held once
+    ends = [i for i, w in enumerate(words) if w == "\x00"]
+    return [tuple(words[a + 1 : b]) for a, b in zip([-1, *ends], [*ends, len(words)], strict=True) if b > a + 1]
 
 
 def _join(found: re.Match) -> str:
@@ -210,25 +216,37 @@ def learned_groups(texts: Iterable[list[tuple[str, ...]]], groups: list[tuple[st
     A slot is the two words before and the two after a word. It is a slot of a language if at least two of its terms
     stand in it; a word joins that stands in at least two such slots and in them at least half of its times.
     """
-    seen: dict[tuple, Counter] = {}
-    for found in texts:
-        for w in found:
+    cue_times = Counter(w for found in texts for w in found)
+    words = Counter()
+    for w, n in cue_times.items():
+        for x in w:
+            words[x] += n
+
+    def places(wanted):
+        """(slot, word, times) of the words of cues that have a wanted word."""
+        for w, n in cue_times.items():
+            if wanted.isdisjoint(w):
+                continue
             padded = ("", "", *w, "", "")
             for i, x in enumerate(w):
-                seen.setdefault((*padded[i : i + 2], *padded[i + 3 : i + 5]), Counter())[x] += 1
-    times: Counter = Counter()
-    for c in seen.values():
-        times.update(c)
+                yield (*padded[i : i + 2], *padded[i + 3 : i + 5]), x, n
+
     out = []
     for g in groups:
         known = set(g)
         for _ in range(rounds):
-            slots = [c for c in seen.values() if len(known & c.keys()) >= 2]
-            inside, places = Counter(), Counter()
-            for c in slots:
-                inside.update(c)
-                places.update(c.keys())
-            known |= {x for x, n in places.items() if n >= 2 and x != "#" and 2 * inside[x] >= times[x]}
+            terms: dict[tuple, set] = {}
+            for slot, x, _n in places(known):
+                if x in known:
+                    terms.setdefault(slot, set()).add(x)
+            slots = {slot for slot, own in terms.items() if len(own) >= 2}
+            near = {x for slot in slots for x in slot if x}
+            inside, kinds = Counter(), {}
+            for slot, x, n in places(near) if slots else ():
+                if slot in slots:
+                    inside[x] += n
+                    kinds.setdefault(x, set()).add(slot)
+            known |= {x for x, own in kinds.items() if len(own) >= 2 and x != "#" and 2 * inside[x] >= words[x]}
         out.append((*g, *sorted(known - set(g))))
     return out
 
@@ -258,14 +276,26 @@ def fit(documents: Iterable[tuple[str | None, int]], penalty: float = 0.1, ridge
     """
     docs = [(cues(text), label) for text, label in documents]
     docs = [d for d in docs if d[0]]
-    pos, neg = Counter(), Counter()
-    for found, label in docs:
-        (pos if label else neg).update(set().union(*map(grams, found), *(crossing(a, b) for a, b in zip(found, found[1:], strict=False))))
     n_pos = sum(label for _, label in docs)
     n_neg = len(docs) - n_pos
     if not n_pos or not n_neg:
         return _seeded()
     share = n_pos / (n_pos + n_neg)
+    runs = lambda found: set().union(*map(grams, found), *(crossing(a, b) for a, b in zip(found, found[1:], strict=False)))
+    pos = Counter(f for found, label in docs if label for f in runs(found))
+    # runs too rare to be suspect even without a negative document are left out; of the others and their words negatives are counted
+    least = EVIDENCE / max(-math.log(share) - (1 - share), 1e-9)
+    pos = {f: p for f, p in pos.items() if p >= least}
+    counted = pos.keys() | {w for f in pos if isinstance(f, tuple) for w in f} | _seed_words()
+    neg = Counter()
+    for found, label in docs:
+        if not label:
+            own = set()
+            for c in found:
+                if not counted.isdisjoint(c):
+                    own.update(f for f in grams(c) if f in counted)
+            own.update(f for a, b in zip(found, found[1:], strict=False) if a[-1] in counted and b[0] in counted for f in crossing(a, b) if f in counted)
+            neg.update(own)
     suspect = {}
     for f, p in pos.items():
         expected = (p + neg[f]) * share
