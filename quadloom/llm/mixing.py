@@ -5,7 +5,7 @@ domains multiply to. Raking alternates between the marginals; a cell's factor, t
 of its documents, never exceeds what its source may be repeated. Raked to the size of all documents, the factors
 tell which sources are too small: all their cells are at the cap and don't reach the share. The mixture is raked
 to the largest size at which every source reaches its share. Documents are then taken by systematic sampling
-along cells and sizes, so every share comes close to its expectation.
+along cells and sizes, and what a draw lacks or has too much is made up, so every share comes close to its target.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from quadloom.runtime import cut
 
 #: Languages kept apart; others, unknown and null count as "other".
 LANGUAGES = ("de", "en", "es", "fr")
-TOPICS = 16
+#: Values of the topic column with this share of all tokens are topics of their own, at most so many as go into 1; the others are hashed into ``TOPICS`` classes.
+BIG_TOPIC, TOPICS = 0.02, 16
 #: Documents of a source that are sampled along one ordering.
 SHARD_ROWS = 20_000
 #: Starts of a systematic draw that are compared.
-STARTS = 32
+STARTS = 64
 #: mix_targets may list at most this many sources.
 MAX_SOURCES = 10_000
 
@@ -102,8 +103,8 @@ def short_sources(raked: pd.DataFrame, targets: pd.DataFrame, total: float) -> s
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "size", topic: str = "title_id", seed: int = 7, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """The mixture ``(key, source, lang, topic, size, copies)`` and the shares of its sources.
 
-    ``documents`` needs key, source, lang, size and a topic column, which is hashed into ``TOPICS`` classes;
-    sources are compared trimmed and in lower case. No document is taken more than ``max_repeats`` times. With
+    ``documents`` needs key, source, lang, size and a topic column, whose largest values are topics of their own
+    (numbers below 0) and whose others are hashed into ``TOPICS`` classes; sources are compared trimmed and in lower case. No document is taken more than ``max_repeats`` times. With
     ``whole`` the mixture is aimed at the size of all documents: short sources give what they have, and the other
     shares grow. Without, it is as large as it can be with each source at its share.
     Documents of other or null sources and those of size 0 count for the total only and are not taken. Shares:
@@ -117,12 +118,15 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str
     want = want.dropna().groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).limit(MAX_SOURCES + 1).toPandas()
     if len(want) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    hashed = F.pmod(F.xxhash64(topic), F.lit(TOPICS)).cast("int")
     source = F.when(clean_source(F.col("source")).isin(*want["source"].tolist()), clean_source(F.col("source"))) if len(want) else F.lit(None).cast("string")
-    docs = cut(documents.select(F.col(key).alias("__key"), source.alias("__source"), clean_language(F.col("lang")).alias("__lang"), hashed.alias("__topic"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size")))
+    docs = cut(documents.select(F.col(key).alias("__key"), source.alias("__source"), clean_language(F.col("lang")).alias("__lang"), F.col(topic).alias("__title"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size")))
+    total = float(docs.agg(F.sum("__size")).first()[0] or 0)
+    big = docs.where(F.col("__title").isNotNull()).groupBy("__title").agg(F.sum("__size").alias("n")).where((F.col("n") >= BIG_TOPIC * total) & (F.col("n") > 0)).orderBy("__title").collect()  # at most 1 / BIG_TOPIC rows
+    hashed = F.pmod(F.xxhash64("__title"), F.lit(TOPICS)).cast("int")
+    own = F.array_position(F.array(*[F.lit(r[0]) for r in big]), F.col("__title")) if big else F.lit(0)
+    docs = docs.withColumn("__topic", F.when(own > 0, -own).otherwise(hashed).cast("int"))
     cells = docs.groupBy("__source", "__lang", "__topic").agg(F.sum("__size").alias("mass"), F.sum(F.when(F.col("__size") > 0, 1).otherwise(0)).alias("rows")).toPandas()  # sources x languages x topics rows
     cells.columns = ["source", "lang", "topic", "mass", "rows"]
-    total = float(cells["mass"].sum())
     own = cells[cells["source"].notna() & (cells["mass"] > 0)].sort_values(["source", "lang", "topic"])
     raked = rake(own, want, total)
     short = short_sources(raked, want, total)
@@ -143,10 +147,15 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", size: str
 
     # of some starts of the systematic draw, each shard takes the one that comes closest to the tokens wanted from it
     starts = [(k + 0.5) / STARTS for k in range(STARTS)]
-    off = [F.abs(F.sum(F.col("__size") * (extra(F.lit(u)) - F.col("__part")))) for u in starts]
-    best = drawn.groupBy("__source", "__shard").agg(F.array(*off).alias("__off"))
-    best = best.select(F.col("__source").alias("__bs"), F.col("__shard").alias("__bh"), ((F.array_position("__off", F.array_min("__off")) - 0.5) / STARTS).alias("__start"))
+    off = F.array(*[F.sum(F.col("__size") * (extra(F.lit(u)) - F.col("__part"))) for u in starts])
+    best = drawn.groupBy("__source", "__shard").agg(off.alias("__off")).withColumn("__at", F.array_position(F.transform("__off", F.abs), F.array_min(F.transform("__off", F.abs))).cast("int"))
+    best = best.select(F.col("__source").alias("__bs"), F.col("__shard").alias("__bh"), ((F.col("__at") - 0.5) / STARTS).alias("__start"), F.col("__off")[F.col("__at") - 1].alias("__left"))
     drawn = drawn.join(best, (F.col("__source") == F.col("__bs")) & (F.col("__shard") == F.col("__bh"))).withColumn("__extra", extra(F.col("__start")))
+    # what is still lacking or too much, where a few large documents hold a source's tokens, is made up by documents it has room for
+    turned = ((F.col("__left") < 0) & (F.col("__extra") == 0) & (F.col("__part") > 0) | (F.col("__left") > 0) & (F.col("__extra") == 1)) & (F.col("__size") <= F.abs("__left"))
+    by_hash = Window.partitionBy("__source", "__shard").orderBy(F.xxhash64("__key", F.lit(seed + 3)), "__key").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = drawn.withColumn("__turned", turned).withColumn("__sum", F.sum(F.when(F.col("__turned"), F.col("__size"))).over(by_hash))
+    drawn = drawn.withColumn("__extra", F.when(F.col("__turned") & (F.col("__sum") <= F.abs("__left")), 1 - F.col("__extra")).otherwise(F.col("__extra")))
     taken = drawn.select("*", (F.floor("__factor") + F.col("__extra")).cast("int").alias("copies")).where(F.col("copies") > 0)
     mixture = taken.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__size").alias("size"), "copies")
     mixture = cut(mixture)
