@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.runtime import cut
+from quadloom.runtime import cut, release
 
 
 @dataclass(frozen=True)
@@ -60,16 +60,17 @@ def _neighbours(cells: DataFrame, names: Sequence[str], reach: int, limits: Sequ
 
 def _components(ids: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(__id, label)``: the smallest id of each component, by minimum-label propagation with pointer jumping to convergence. ``links`` go both ways."""
-    labels = cut(ids.select("__id", F.col("__id").alias("label")))
+    kept = cut(ids.select("__id", F.col("__id").alias("label")))
     for _ in range(max_rounds):
+        labels = kept.select("__id", "label")
         near = links.join(labels, F.col("__from") == F.col("__id")).groupBy(F.col("__to").alias("__id")).agg(F.min("label").alias("__near"))
         lower = labels.join(near, "__id", "left").select("__id", F.col("label").alias("__old"), F.least("label", F.coalesce("__near", "label")).alias("__new"))
         jump = lower.select(F.col("__id").alias("__j"), F.col("__new").alias("__far"))
         after = cut(lower.join(jump, F.col("__new") == F.col("__j"), "left").select("__id", "__old", F.least("__new", F.coalesce("__far", "__new")).alias("label")))
-        changed = after.where(F.col("label") != F.col("__old")).limit(1).count()
-        labels = after.select("__id", "label")
-        if not changed:
-            return labels
+        release(kept)
+        kept = after
+        if after.where(F.col("label") != F.col("__old")).isEmpty():
+            return kept.select("__id", "label")
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
