@@ -239,7 +239,7 @@ STORE: dict[str, tuple[str, str]] = {
     ),
     "store_range": (
         "SELECT ?g ?s ?v WHERE { GRAPH ?g { ?s <urn:x-graph:pyr/Perimeter> ?v FILTER(?v >= 1000 && ?v < 1200) } }",
-        "SELECT DISTINCT g, s, o AS v FROM quads WHERE p = '<urn:x-graph:pyr/Perimeter>' AND g IS NOT NULL AND s IS NOT NULL AND o_dt IN ('xsd:double', 'xsd:float', 'xsd:decimal', 'xsd:integer', 'xsd:int', 'xsd:long') AND o_num >= 1000 AND o_num < 1200",
+        "SELECT DISTINCT g, s, o AS v FROM quads WHERE p = '<urn:x-graph:pyr/Perimeter>' AND g <> '<urn:x-graph:default>' AND s IS NOT NULL AND o_dt IN ('xsd:double', 'xsd:float', 'xsd:decimal', 'xsd:integer', 'xsd:int', 'xsd:long') AND o_num >= 1000 AND o_num < 1200",
     ),
     "store_lang": (
         "SELECT (LANG(?l) AS ?g) (COUNT(*) AS ?n) WHERE { ?s <urn:x-graph:hal/label> ?l } GROUP BY (LANG(?l))",

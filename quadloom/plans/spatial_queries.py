@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadloom.engine import Engine
 from quadloom.runtime import shuffle_width, table
 from quadloom.sources import quads
-from quadloom.spatial import derived, geometry, hilbert, index, wkt
+from quadloom.spatial import derived, geometry, hilbert, index, ranges, wkt
 from quadloom.terms import DEFAULT_GRAPH, WKT_LITERAL, Kind, escaped, text
 
 BOX = (20000, 20000, 30000, 30000)
@@ -125,10 +125,16 @@ def range_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_ranges(spark, sf_dir).groupBy("event_type").agg(F.sum(F.col("high") - F.col("low") + 1).alias("area"), F.min("low").alias("lo"), F.max("high").alias("hi"))
 
 
+def range_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the cells that the curve positions of each event type cover."""
+    q = ranges.range_squares(merge_ranges(spark, sf_dir), ["event_type"], "low", "high")
+    return q.groupBy("event_type").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max(F.col("x") + F.col("side")) - 1).alias("x1"), (F.max(F.col("y") + F.col("side")) - 1).alias("y1"), F.sum(F.col("side") * F.col("side")).alias("cells"))
+
+
 def range_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part keys in the merged ranges of one event type."""
-    ranges = geometry.merge_ranges(_spans(spark, sf_dir).where("event_type = 'error'"), "a", "b")
-    return geometry.in_merged(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", ranges, cell=1000)
+    merged = geometry.merge_ranges(_spans(spark, sf_dir).where("event_type = 'error'"), "a", "b")
+    return geometry.in_merged(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", merged, cell=1000)
 
 
 def wkt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +183,23 @@ def derived_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.derive(g, "s", "as_wkt")
 
 
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = derived.derive(shapes(spark, sf_dir).select(F.concat(F.lit("<urn:k/"), F.col("k"), F.lit(">")).alias("s"), "as_wkt"), "s", "as_wkt")
+    return d.withColumn("k", F.regexp_extract("s", "([0-9]+)", 1).cast("long"))
+
+
+def derived_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tile graphs that the derived quads of the shapes' lowest level are in."""
+    place = F.split(F.regexp_extract("g", f"^<{derived.GRID}:0:(.*)>$", 1), ":")
+    return _derived(spark, sf_dir).where(F.col("g").startswith(f"<{derived.GRID}:0:")).select("k", place[0].cast("long").alias("tx"), place[1].cast("long").alias("ty"))
+
+
+def derived_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners in the derived quads of the objects whose corners the data have."""
+    d = _derived(spark, sf_dir).where(F.col("p") == f"<{derived.VOCAB}hilbertCorner0>").select("k", F.regexp_extract("o", '^"([0-9]+)"', 1).cast("long").alias("h"))
+    return d.join(cornered(spark, sf_dir).select("k").distinct(), "k", "left_semi")
+
+
 def num_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pyramid steps until an image fits 512 pixels."""
     return table(spark, sf_dir, "images").select("image_id", geometry.num_scales(F.col("width"), F.col("height"), F.lit(512)).alias("steps")).where("steps IS NOT NULL")
@@ -201,8 +224,8 @@ def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    sf_intersects, batch_intersects, spatial_candidates, hilbert_ranges_box, hilbert_ranges_polygon, hilbert_roundtrip, hilbert_index, hilbert_centroid, hilbert_corners, merge_ranges, range_area, range_contains, wkt_parse, degenerate_polygons,
-    grid_tiles, grid_lookup, pyramid_levels, pyramid_base, spatial_quads, derived_quads, num_scales, pca_axes, shape_features, shape_measures,
+    sf_intersects, batch_intersects, spatial_candidates, hilbert_ranges_box, hilbert_ranges_polygon, hilbert_roundtrip, hilbert_index, hilbert_centroid, hilbert_corners, merge_ranges, range_area, range_bounds, range_contains, wkt_parse, degenerate_polygons,
+    grid_tiles, grid_lookup, pyramid_levels, pyramid_base, spatial_quads, derived_quads, derived_tiles, derived_corners, num_scales, pca_axes, shape_features, shape_measures,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -249,6 +272,12 @@ ORACLES = {
     "hilbert_corners": f"WITH {_R} SELECT k, 0 AS i, x0 AS x, y0 AS y FROM r UNION ALL SELECT k, 1, x0, y1 FROM r UNION ALL SELECT k, 2, x1, y1 FROM r UNION ALL SELECT k, 3, x1, y0 FROM r",
     "merge_ranges": f"WITH {_MERGED} SELECT event_type, low, high FROM merged",
     "range_area": f"WITH {_MERGED} SELECT event_type, CAST(sum(high - low + 1) AS BIGINT) AS area, min(low) AS lo, max(high) AS hi FROM merged GROUP BY 1",
+    "range_bounds": f"""WITH RECURSIVE {_MERGED}, c AS (SELECT DISTINCT event_type, unnest(range(low, high + 1)) AS h FROM merged),
+        d AS (SELECT h, h AS t, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, 0 AS j FROM (SELECT DISTINCT h FROM c) UNION ALL
+          SELECT h, t >> 2, CASE WHEN ry = 0 THEN fy ELSE fx END + (side * rx), CASE WHEN ry = 0 THEN fx ELSE fy END + (side * ry), j + 1
+          FROM (SELECT *, CASE WHEN ry = 0 AND rx = 1 THEN side - 1 - x ELSE x END AS fx, CASE WHEN ry = 0 AND rx = 1 THEN side - 1 - y ELSE y END AS fy
+            FROM (SELECT *, (t >> 1) & 1 AS rx, xor(t, (t >> 1) & 1) & 1 AS ry, CAST(1 AS BIGINT) << j AS side FROM d WHERE j < 9)))
+        SELECT event_type, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS cells FROM c JOIN d USING (h) WHERE j = 9 GROUP BY event_type""",
     "range_contains": f"WITH {_SPANS} SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM e WHERE event_type = 'error' AND p_partkey BETWEEN a AND b)",
     "wkt_parse": f"""WITH {EDGES}, n AS (SELECT k, count(DISTINCT pg) AS a, count(DISTINCT (pg, rn)) AS b, count(*) + count(DISTINCT (pg, rn)) AS c FROM e GROUP BY k)
         SELECT shape.k, n.k IS NOT NULL OR regexp_full_match(body.t, '\\s*(MULTI)?POLYGON\\s*EMPTY\\s*', 'i') AS ok, CAST(coalesce(n.a, 0) AS INTEGER) AS n_polygons, CAST(coalesce(n.b, 0) AS INTEGER) AS n_rings, CAST(coalesce(n.c, 0) AS INTEGER) AS n_points, x0, y0, x1, y1, n.k IS NULL AS degenerate
@@ -264,6 +293,8 @@ ORACLES = {
     "shape_features": f"""WITH {_R}, f AS (SELECT *, CAST(w * h AS DOUBLE) AS a, CAST(2 * (w + h) AS DOUBLE) AS p, 4 * sqrt((power(greatest(w, h) + 1, 2) - 1) / 12) AS mj, 4 * sqrt((power(least(w, h) + 1, 2) - 1) / 12) AS mi FROM r)
         SELECT k, a AS mesh_surface, CAST((w + 1) * (h + 1) AS DOUBLE) AS pixel_surface, p AS perimeter, round(p / a, 6) AS perimeter_surface_ratio, round(2 * sqrt(pi() * a) / p, 6) AS sphericity, round(p / (2 * sqrt(pi() * a)), 6) AS spherical_disproportion,
         round(sqrt(w * w + h * h), 6) AS maximum_2d_diameter, round(mj, 6) AS major_axis_length, round(mi, 6) AS minor_axis_length, round(mi / mj, 6) AS elongation FROM f""",
+    "derived_tiles": f"WITH {_TILES} SELECT k, b[1] AS tx, b[2] AS ty FROM met",
+    "derived_corners": f"WITH {EDGES}, {_CORNERED} SELECT DISTINCT k, unnest(cs) AS h FROM c WHERE k IN (SELECT k FROM e)",
     "hilbert_index": f"WITH {EDGES}, {_CORNERED} SELECT DISTINCT k, unnest(cs) AS h FROM c WHERE k IN (SELECT k FROM e)",
     "hilbert_ranges_polygon": f"WITH {_CORNERS} SELECT k, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM pt WHERE " + " AND ".join(f"{x2 - x1} * (y - {y1}) - {y2 - y1} * (x - {x1}) >= 0" for (x1, y1), (x2, y2) in zip(TRIANGLE, TRIANGLE[1:] + TRIANGLE[:1], strict=True)),
     "shape_measures": f"""WITH {EDGES}, v AS (SELECT DISTINCT k, x1, y1 FROM e WHERE rn = 1), far AS (SELECT a.k, max(sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1))) AS d FROM v a JOIN v b ON a.k = b.k GROUP BY 1),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadloom.engine import Engine
 from quadloom.operators import profile
-from quadloom.runtime import shared_folder, table
+from quadloom.runtime import cut, shared_folder, table
 from quadloom.sources import files, ntriples, quads
 from quadloom.sources.mapped import warehouse
 from quadloom.sparql import results
@@ -178,7 +178,7 @@ def void_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def void_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partitions, vocabularies, URI spaces and the dataset's graphs from the quads of the description, read back through their links."""
-    q = Engine(quads.QuadSource(quads.typed(profile.void_quads(_store(spark, sf_dir).df, GEO_TYPE))))
+    q = Engine(quads.QuadSource(cut(profile.void_quads(_store(spark, sf_dir).df, GEO_TYPE)), unique=True))
     query = f"""PREFIX void: <{profile.VOID}> PREFIX sd: <{profile.SD}> SELECT ?g ?kind ?what ?n WHERE {{ GRAPH <{profile.VOID_GRAPH}> {{
         {{ ?g void:propertyPartition ?x . ?x void:property ?what ; void:triples ?n BIND('property' AS ?kind) }}
         UNION {{ ?g void:classPartition ?x . ?x void:class ?what ; void:entities ?n BIND('class' AS ?kind) }}

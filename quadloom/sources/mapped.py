@@ -162,8 +162,8 @@ class MappedSource:
     def _keys(self, kind: Kind) -> tuple[str, ...]:
         return self.tables[kind.template[len(ROW) : -1]].keys if kind.template.startswith(ROW) else ("",)
 
-    def _unpivot(self, t: Table) -> DataFrame:
-        """(__s, __p, __o) with all quads of a table in one pass; null cells are absent."""
+    def _unpivot(self, t: Table, keys: DataFrame | None = None) -> DataFrame:
+        """(__s, __p, __o) with all quads of a table, or of its rows with some keys (__k text), in one pass; null cells are absent."""
         items = [(RDF_TYPE, F.lit(f"<{t.cls}>"))]
         for c, dt in self.literals(t).items():
             value = F.col(c).cast("timestamp") if dt == "xsd:dateTime" else F.col(c)
@@ -171,7 +171,20 @@ class MappedSource:
         for name, (target, link) in t.links.items():
             items.append((LINK + name, terms.text(Kind("iri", template=f"{ROW}{target}/"), link())))
         pairs = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in items])
-        return self.load(t.name).select(t.key().alias("__s"), F.explode(pairs).alias("x")).where("x.o is not null").select("__s", F.col("x.p").alias("__p"), F.col("x.o").alias("__o"))
+        rows = self.load(t.name)
+        if keys is not None:
+            rows = rows.join(keys, t.key().cast("string") == F.col("__k"), "left_semi")
+        return rows.select(t.key().alias("__s"), F.explode(pairs).alias("x")).where("x.o is not null").select("__s", F.col("x.p").alias("__p"), F.col("x.o").alias("__o"))
+
+    def about(self, subjects: DataFrame) -> DataFrame:
+        """(s, p, o) of subjects (s): rows are found by their keys before they are taken apart."""
+        out = None
+        for t in self.tables.values():
+            start = "<" + t.template
+            keys = subjects.where(F.col("s").startswith(start)).select(F.substring("s", len(start) + 1, 1_000_000).alias("k")).select(F.regexp_replace("k", ">$", "").alias("__k"))
+            rows = self._unpivot(t, keys).select(terms.text(Kind("iri", template=t.template), F.col("__s")).alias("s"), terms.text(IRI_KIND, F.col("__p")).alias("p"), F.col("__o").alias("o"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def quads(self) -> DataFrame:
         """(g, s, p, o) in canonical text: each table in its graph, and all in the default graph."""

@@ -107,6 +107,10 @@ class QuadSource:
     def quads(self) -> DataFrame:
         return self.df.select(*KEY)
 
+    def about(self, subjects: DataFrame) -> DataFrame:
+        """(s, p, o) of subjects (s), in any graph."""
+        return self.df.select("s", "p", "o").join(subjects, "s", "left_semi")
+
     def graphs(self) -> DataFrame:
         named = self.df.select("g").distinct().where(F.col("g") != f"<{DEFAULT_GRAPH}>")
         return named.select(terms.lexical(NT, F.col("g")).alias("g"))

@@ -538,11 +538,10 @@ class Compiler:
         for t in named:
             one = f.df.select(terms.text(f.kinds[t.name], F.col(f"`{t.name}`")).alias("s")) if isinstance(t, Var) else self.spark.createDataFrame([(terms.canonical(t),)], "s string")
             roots = one if roots is None else roots.unionByName(one)
-        triples = self.source.quads().select("s", "p", "o").distinct()
         todo = cut(roots.where(F.col("s").isNotNull()).distinct())
         found = seen = None
         for n in itertools.count(1):  # ends, as each round has blank nodes not seen before
-            new = cut(triples.join(todo, "s", "left_semi"))
+            new = cut(self.source.about(todo).distinct())
             found = new if found is None else found.unionByName(new)
             seen = todo if seen is None else seen.unionByName(todo)
             todo = cut(new.where(F.col("o").startswith("_:")).select(F.col("o").alias("s")).distinct().join(seen, "s", "left_anti"))

@@ -1,4 +1,4 @@
-"""geof:sfIntersects in queries: always evaluated exactly, whichever argument is the constant."""
+"""geof:sfIntersects and its opposite in queries: always evaluated exactly, whichever argument is the constant."""
 
 from __future__ import annotations
 
@@ -24,4 +24,9 @@ def _intersects(scope, args):
     return BOOLEAN, geometry.sf_intersects(a, b)
 
 
-FUNCTIONS = {GEOF + "sfIntersects": _intersects}
+def _disjoint(scope, args):
+    kind, c = _intersects(scope, args)
+    return kind, ~c
+
+
+FUNCTIONS = {GEOF + "sfIntersects": _intersects, GEOF + "sfDisjoint": _disjoint}

@@ -89,3 +89,11 @@ def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert oracles.keys() <= queries.keys() and len(queries) > 100
     assert {f"p{n}_found" for n in (1, 3, 6)} <= queries.keys()
+
+
+def test_dumps_are_in_order(spark):
+    from quadloom.plans import store_queries
+
+    for query, order in ((store_queries.dump_gspo, "gspo"), (store_queries.dump_gpos, "gpos")):
+        got = [tuple(r[c] for c in order) for r in query(spark, "/root/testdata/sf0.001").collect()]
+        assert len(got) > 100 and got == sorted(got, key=lambda r: [x.encode() for x in r])

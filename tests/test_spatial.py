@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from quadloom.engine import Engine
 from quadloom.sources import quads
-from quadloom.spatial import derived, geometry, hilbert, nearby, wkt
+from quadloom.spatial import derived, geometry, hilbert, nearby, ranges, wkt
 
 GEO = "geo_id long, g long, as_wkt string, hilbert_corners array<long>, x2 string, __a int"
 REG = "region long, g long, as_wkt string"
@@ -309,3 +309,33 @@ def test_region_filter_uses_tiles_and_misses_nothing(spark, tmp_path):
         assert {x.s for x in indexed.sparql(f'SELECT ?s {{ ?s <urn:wkt> ?w FILTER(geof:sfIntersects(?w, "{region}"^^geo:wktLiteral)) }}').collect()} == want
     plan = indexed.sparql('SELECT ?s { ?s ?p ?w FILTER(geof:sfIntersects(?w, "POLYGON ((0 0, 9 0, 9 9, 0 0))"^^geo:wktLiteral)) }')._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "tx" in plan
+
+
+@given(st.lists(st.tuples(st.integers(0, 900), st.integers(0, 60)), max_size=8))
+@settings(max_examples=40, deadline=None)
+def test_squares_bounds_and_outlines(spans):
+    covered = sorted({v for a, n in spans for v in range(a, a + n + 1)})
+    merged: list = []
+    for v in covered:
+        if merged and merged[-1][1] == v - 1:
+            merged[-1] = (merged[-1][0], v)
+        else:
+            merged.append((v, v))
+    cells = set(zip(*map(np.ndarray.tolist, hilbert.decode(np.array(covered, dtype=np.int64))), strict=True)) if covered else set()
+    _, x, y, side = ranges.squares(*np.array(merged, dtype=np.int64).reshape(-1, 2).T)
+    got = [(a + i, b + j) for a, b, s in zip(x.tolist(), y.tolist(), side.tolist(), strict=True) for i in range(s) for j in range(s)]
+    assert len(got) == len(set(got)) and set(got) == cells
+    shapes = ranges.outline(merged)
+    if not cells:
+        assert shapes == [] and ranges.bounds(merged) is None and ranges.upper_left(merged) is None and ranges.fattened(merged) == []
+        return
+    xs, ys = zip(*cells, strict=True)
+    assert ranges.bounds(merged) == (min(xs), min(ys), max(xs), max(ys))
+    assert ranges.upper_left(merged) == min(cells, key=lambda c: c[::-1])
+    wide = cells | {(a + 1, b) for a, b in cells} | {(a, b + 1) for a, b in cells}
+    assert {p for lo, hi in ranges.fattened(merged) for p in zip(*map(np.ndarray.tolist, hilbert.decode(np.arange(lo, hi + 1))), strict=True)} == wide
+    assert sum(wkt.area(p) for p in shapes) == len(cells)
+    mids = np.array(sorted(itertools.product(range(max(xs) + 2), range(max(ys) + 2))), dtype=float)
+    inside = np.logical_or.reduce([wkt.contains(p, mids[:, 0] + 0.5, mids[:, 1] + 0.5) for p in shapes])
+    assert {(int(a), int(b)) for (a, b), ok in zip(mids, inside, strict=True) if ok} == cells
+    assert wkt.polygons(geometry.to_text(shapes)) is not None
