@@ -57,3 +57,18 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert gc.cluster(none, "geo_id", FEATURES, LIMITS).collect() == []
     assert gc.describe(gc.cluster(none, "geo_id", FEATURES, LIMITS), "geo_id", FEATURES).collect() == []
+
+
+def test_sparse_cells_join_a_dense_one_and_bridge_nothing(spark):
+    one = (gc.Feature("x", 1.0),)
+    rows = [(i, 10.5) for i in range(6)] + [(10 + i, 13.5) for i in range(6)] + [(20, 12.5), (21, 11.4)] + [(30, 50.5), (31, 51.5), (40, 90.5)]
+    df = spark.createDataFrame(rows + rows[:3] + [(None, 10.5), (50, None)], "geo_id long, x double")
+    kept = {r.geo_id: (r.label, r.dense) for r in gc.cluster(df, "geo_id", one, (1.2,), min_points=5, reach=1, keep_loose=True).collect()}
+    assert kept.keys() == {i for i, _ in rows}
+    left, right = kept[0], kept[10]
+    assert left != right and left[1] and right[1] and {kept[i] for i in range(6)} == {left} and kept[20] == right and kept[21] == left
+    assert kept[30] == kept[31] and not kept[30][1] and kept[40] not in (kept[30], left, right)
+    plain = gc.cluster(df, "geo_id", one, (1.2,), min_points=5, reach=1)
+    assert {r.geo_id for r in plain.collect()} == kept.keys() - {30, 31, 40}
+    told = {r["size"]: r.dense for r in gc.describe(gc.cluster(df, "geo_id", one, (1.2,), min_points=5, reach=1, keep_loose=True), "geo_id", one).collect()}
+    assert told == {7: True, 2: False, 1: False}

@@ -65,3 +65,16 @@ def test_pack(spark, buckets):
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, size long")).collect() == []
     assert [r.container for r in packing.pack(spark.createDataFrame([(1, 0)], "doc_id long, size long")).collect()] == [None]
+
+
+def test_steps_and_split_items(spark):
+    items = [(i, n) for i, n in enumerate([60] * 10 + [40] * 10 + [250, 100, 0])] + [(None, 5), (7, 60)]
+    df = spark.createDataFrame(items, "doc_id long, size long")
+    told = {r.step: r for r in packing.report(df, capacity=100, buckets=4).collect()}
+    packed = packing.pack(df, capacity=100, buckets=4)
+    made = packing.containers(packed, 100).count()
+    assert told["least"].containers <= told["topped up"].containers == made < told["batches"].containers
+    assert told["least"].tokens == sum(n for _, n in items) and abs(told["topped up"].fill - told["least"].tokens / (100 * made)) < 1e-9
+    assert [(r.doc_id, r.tokens, r.n_containers) for r in packing.split_items(packed, "doc_id", 100).collect()] == [(20, 250, 3)]
+    none = spark.createDataFrame([], "doc_id long, size long")
+    assert {(r.containers, r.fill) for r in packing.report(none).collect()} == {(0, None)} and packing.split_items(packing.pack(none), "doc_id").collect() == []

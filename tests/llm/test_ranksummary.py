@@ -60,3 +60,34 @@ def test_fan_in(spark, monkeypatch):
 def test_empty_and_no_keys(spark):
     none = spark.createDataFrame([], "g long, x double")
     assert rs.percentiles(rs.merge(rs.summarise(none, ["g"], "x"), ["g"]), ["g"], [0.5]).collect() == []
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 3), st.integers(0, 20)), min_size=1, max_size=300), st.sampled_from([0.0, 0.02, 0.1]))
+@settings(max_examples=60, deadline=None)
+def test_many_groups_at_once(rows, eps):
+    """Groups folded together come out as each by itself."""
+    group, part, value = (np.array(c) for c in zip(*rows, strict=True))
+    keys, f = rs.exact_all(group * 10 + part, value.astype(float))
+    f = rs.compress_all(f, eps)
+    key, merged = rs.merge_all(f, keys // 10)
+    assert key.tolist() == sorted(set(group.tolist()))
+    for i, g in enumerate(key.tolist()):
+        one = [rs.compress(rs.exact(value[(group == g) & (part == p)].astype(float)), eps) for p in range(4) if ((group == g) & (part == p)).any()]
+        while len(one) > 1:
+            one = [rs.combine(one[j], one[j + 1]) if j + 1 < len(one) else one[j] for j in range(0, len(one), 2)]
+        own = slice(merged.starts[i], merged.starts[i + 1])
+        assert all((a == b).all() for a, b in zip(one[0], (merged.v[own], merged.lo[own], merged.hi[own]), strict=True))
+        for q in (0.0, 0.3, 0.9, 1.0):
+            assert rs.quantiles_all(merged, q)[i] == rs.quantile(one[0], q)
+        assert rs.errors_all(merged)[i] == rs.rank_error(one[0])
+
+
+def test_keys_of_all_kinds(spark, monkeypatch):
+    monkeypatch.setattr(rs, "HELD", 40)
+    rows = [(None if i % 7 == 0 else f"k{i % 5}", 2**60 + i % 2, float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "s string, g long, x double").repartition(4)
+    got = rs.percentiles(rs.merge(rs.summarise(df, ["s", "g"], "x", 0.01), ["s", "g"], 0.01), ["s", "g"], [0.5]).collect()
+    sizes: dict = {}
+    for s, g, _ in rows:
+        sizes[s, g] = sizes.get((s, g), 0) + 1
+    assert {(r.s, r.g): r.n for r in got} == sizes
