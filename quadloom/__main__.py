@@ -40,13 +40,13 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     return found, bad
 
 
-def load(spark: SparkSession, paths: list[str], store: str, spatial: bool, features: bool, void: bool) -> int:
+def load(spark: SparkSession, paths: list[str], store: str, spatial: bool, features: bool, void: bool, subjects: bool) -> int:
     """Writes a store of files; returns the number of unreadable files and lines."""
     found, bad = read(spark, paths)
     every = derived.added(found) if spatial else found
     every = every.unionByName(derived.features(found)) if features else every
     every = every.unionByName(profile.void_quads(found)) if void else every  # of the source quads only
-    quads.write(every, store, spatial)
+    quads.write(every, store, spatial, subjects)
     return bad.count()
 
 
@@ -67,6 +67,7 @@ def main(arguments: list[str] | None = None) -> None:
     one.add_argument("store")
     one.add_argument("--each", action="store_true", help="a store for each file, below STORE as the file is below SOURCE; those that are there are passed over")
     one.add_argument("--spatial", action="store_true", help="add the quads derived from WKT literals and a tile index")
+    one.add_argument("--subjects", action="store_true", help="add a copy in the order of subjects, for look-ups by subject")
     one.add_argument("--features", action="store_true", help="add the shape features of WKT literals")
     one.add_argument("--void", action="store_true", help="add the description of the graphs")
     one.add_argument("--status", action="store_true", help="tell each store as it is done")
@@ -98,7 +99,7 @@ def main(arguments: list[str] | None = None) -> None:
             if args.each and there(spark, store):
                 skipped += 1
                 continue
-            rejected += load(spark, files, store, args.spatial, args.features, args.void)
+            rejected += load(spark, files, store, args.spatial, args.features, args.void, args.subjects)
             if args.status:
                 print(f"{store}: {len(files)} files")
         print(f"stores: {len(jobs) - skipped}, passed over: {skipped}, rejected: {rejected}")

@@ -14,6 +14,8 @@ from quadloom.sparql.frame import Frame
 from quadloom.terms import DEFAULT_GRAPH, IRI, NT, NUMERICS, Var
 
 KEY = ["g", "s", "p", "o"]
+#: Name of the copy in the order of subjects inside a store's folder.
+SUBJECTS = "_subjects"
 SIDE = ["o_kind", "o_lex", "o_dt", "o_lang", "o_num", "o_dec", "o_ts"]
 
 
@@ -39,13 +41,17 @@ def dedup(quads: DataFrame) -> DataFrame:
     return quads.dropDuplicates(KEY)
 
 
-def write(quads: DataFrame, path: str, spatial: bool = False) -> None:
-    """Store: range-partitioned by predicate and object so that row-group statistics prune both access paths, zstd-compressed.
+def write(quads: DataFrame, path: str, spatial: bool = False, subjects: bool = False) -> None:
+    """Store: range-partitioned by predicate and object, so that row-group statistics prune look-ups by either, zstd-compressed.
 
-    With ``spatial`` a tile index of its WKT literals is written too.
+    With ``spatial`` a tile index of its WKT literals is written too, with ``subjects`` a second copy in the order
+    of subjects, from which patterns with a constant subject read the row groups around it only.
     """
     ready = dedup(quads if set(SIDE) <= set(quads.columns) else typed(quads)).select(*KEY, *SIDE)
     ready.repartitionByRange("p", "o", "s").sortWithinPartitions("p", "o_num", "o", "s").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if subjects:
+        again = quads.sparkSession.read.parquet(path)
+        again.repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o").write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/{SUBJECTS}")
     if spatial:
         index.write(quads.sparkSession.read.parquet(path), path)
 
@@ -53,7 +59,7 @@ def write(quads: DataFrame, path: str, spatial: bool = False) -> None:
 def read(spark: SparkSession, path: str) -> QuadSource:
     """A store as a source. One with batches of a stream isn't known to be a set before it is compacted."""
     df = spark.read.parquet(path)
-    return QuadSource(df, unique="batch" not in df.columns, tiles=index.read(spark, path))
+    return QuadSource(df, unique="batch" not in df.columns, tiles=index.read(spark, path), subjects=index.beside(spark, path, SUBJECTS))
 
 
 class QuadSource:
@@ -62,10 +68,11 @@ class QuadSource:
     ``union_default``: patterns outside GRAPH see the union of all graphs instead of the default graph. ``unique``:
     the table holds each quad once, so that a pattern over one graph, or one that reports the graph, needs no
     removal of repeats and with it no shuffle. ``tiles``: the tile index of all its WKT literals (``spatial.index``).
+    ``subjects``: the same quads in the order of subjects.
     """
 
-    def __init__(self, quads: DataFrame, union_default: bool = False, unique: bool = False, tiles: DataFrame | None = None):
-        self.tiles = tiles
+    def __init__(self, quads: DataFrame, union_default: bool = False, unique: bool = False, tiles: DataFrame | None = None, subjects: DataFrame | None = None):
+        self.tiles, self.subjects = tiles, subjects
         self.spark, self.df, self.union_default, self.unique = quads.sparkSession, quads.where(" AND ".join(f"{c} IS NOT NULL" for c in KEY)), union_default, unique
 
     def _in(self, graph) -> DataFrame:
@@ -94,6 +101,8 @@ class QuadSource:
             for op, x in ranges.get(p.o.name, []):
                 conditions.append({"<": F.col("o_num") < x, "<=": F.col("o_num") <= x, ">": F.col("o_num") > x, ">=": F.col("o_num") >= x}[op])
         source = copy.copy(self)
+        if self.subjects is not None and not isinstance(p.s, Var):
+            source.df = self.subjects
         for c in conditions:  # before any removal of duplicates, so that they reach the scan
             source.df = source.df.where(c)
         found = source._in(graph)

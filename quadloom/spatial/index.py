@@ -64,14 +64,19 @@ def write(quads: DataFrame, store: str) -> None:
     of_quads(quads).repartitionByRange("tx", "ty").sortWithinPartitions("tx", "ty").write.mode("overwrite").parquet(f"{store.rstrip('/')}/{FOLDER}")
 
 
-def read(spark: SparkSession, store: str) -> DataFrame | None:
-    """The index of a store, if it has one."""
-    path = f"{store.rstrip('/')}/{FOLDER}"
+def beside(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """A table inside a store's folder, if it is there."""
+    path = f"{store.rstrip('/')}/{name}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
     return spark.read.parquet(path) if there else None
 
 
+def read(spark: SparkSession, store: str) -> DataFrame | None:
+    """The index of a store, if it has one."""
+    return beside(spark, store, FOLDER)
+
+
 def near(index: DataFrame, region: str, scale: int, predicate: str | None) -> DataFrame | None:
     """``(s)``, each once: subjects with a literal, of a predicate if given, in a tile that a region meets; null if the region can't narrow anything down."""
     found = wkt.polygons(region)

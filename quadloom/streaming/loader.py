@@ -1,7 +1,7 @@
 """Continuous loading of N-Quads files with Structured Streaming.
 
 Parsing is stateless, so each micro-batch is the batch loader's plan. Repeats inside a batch are removed before
-it is appended; those across batches at the next compaction, or within a watermark on arrival time.
+it is appended, those across batches at the next compaction.
 """
 
 from __future__ import annotations

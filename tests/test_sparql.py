@@ -226,3 +226,12 @@ def test_stores_are_sets_without_a_shuffle(spark, engine, tmp_path):
     e = Engine.store(spark, str(tmp_path / "s"))
     plan = e.sparql("SELECT ?s ?o { ?s <urn:next> ?o }")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and rows(e.sparql("SELECT ?s ?o { ?s <urn:next> ?o }")) == rows(engine.sparql("SELECT ?s ?o { ?s <urn:next> ?o }"))
+
+
+def test_look_ups_by_subject_read_the_copy_in_its_order(spark, engine, tmp_path):
+    quads.write(engine.source.df, str(tmp_path / "s"), subjects=True)
+    e = Engine.store(spark, str(tmp_path / "s"))
+    for q in ("SELECT ?p ?o { <urn:a> ?p ?o }", "SELECT ?o { <urn:a> <urn:p> ?b . ?b <urn:self> ?o }", "SELECT ?g ?o { GRAPH ?g { <urn:d> <urn:p> ?o } }", "SELECT ?s { ?s <urn:next> <urn:s1> }"):
+        assert rows(e.sparql(q)) == rows(engine.sparql(q))
+    assert all("_subjects" in f for f in e.sparql("SELECT ?p ?o { <urn:a> ?p ?o }").inputFiles())
+    assert e.source.df.count() == engine.source.df.distinct().count()
