@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadloom import terms
 from quadloom.sparql.frame import Frame
-from quadloom.terms import NT, RDF, RDF_TYPE, XSD
+from quadloom.terms import NT, RDF, RDF_TYPE, XSD, Kind
 
 SELECT_FORMATS, GRAPH_FORMATS = ("json", "xml", "csv", "tsv"), ("nt", "turtle", "jsonld", "rdfxml")
 
@@ -50,8 +50,14 @@ def _full(dt: Column) -> Column:
     return dt
 
 
-def _parts(c: Column) -> tuple[Column, Column, Column, Column]:
-    """Kind (uri, bnode, literal), lexical form, datatype other than plain strings, and language of canonical text."""
+def _parts(c: Column, known: Kind = NT) -> tuple[Column, Column, Column, Column]:
+    """Kind (uri, bnode, literal), lexical form, datatype other than plain strings, and language of a column; null where it is unbound."""
+    nothing = F.lit(None).cast("string")
+    if known.sort == "iri":
+        return F.when(c.isNotNull(), "uri"), terms.lexical(known, c), nothing, nothing
+    if known.sort == "lit":
+        dt = F.when(c.isNotNull(), _full(F.lit(known.dt))) if known.dt != "xsd:string" else nothing
+        return F.when(c.isNotNull(), "literal"), terms.lexical(known, c), dt, nothing
     kind = F.when(c.startswith("<"), "uri").when(c.startswith("_:"), "bnode").when(c.isNotNull(), "literal")
     lex = F.when(kind == "bnode", F.substring(c, 3, 1_000_000)).otherwise(terms.lexical(NT, c))
     lang = F.when(terms.language(NT, c) != "", terms.language(NT, c))
@@ -68,11 +74,11 @@ def _xml(c: Column) -> Column:
 def bindings(f: Frame, form: str) -> Document:
     """The rows of a SELECT result."""
     names = [n for n in f.kinds if not n.startswith("__")]
-    cells = {n: terms.text(f.kinds[n], F.col(f"`{n}`")) for n in names}
+    cells = {n: F.col(f"`{n}`") for n in names}
     if form == "json":
         made = []
         for n, c in cells.items():
-            kind, lex, dt, lang = _parts(c)
+            kind, lex, dt, lang = _parts(c, f.kinds[n])
             made.append(F.when(c.isNotNull(), F.struct(kind.alias("type"), lex.alias("value"), dt.alias("datatype"), lang.alias("xml:lang"))).alias(n))
         row = F.to_json(F.struct(*made)) if made else F.lit("{}")
         quoted = ", ".join('"' + n.replace('"', '\\"') + '"' for n in names)
@@ -80,17 +86,17 @@ def bindings(f: Frame, form: str) -> Document:
     if form == "xml":
         made = []
         for n, c in cells.items():
-            kind, lex, dt, lang = _parts(c)
+            kind, lex, dt, lang = _parts(c, f.kinds[n])
             extra = F.when(lang.isNotNull(), F.concat(F.lit(' xml:lang="'), lang, F.lit('"'))).when(dt.isNotNull(), F.concat(F.lit(' datatype="'), _xml(dt), F.lit('"'))).otherwise(F.lit(""))
             made.append(F.when(c.isNotNull(), F.concat(F.lit(f'<binding name="{n}"><'), kind, extra, F.lit(">"), _xml(lex), F.lit("</"), kind, F.lit("></binding>"))).otherwise(F.lit("")))
         head = '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>' + "".join(f'<variable name="{n}"/>' for n in names) + "</head><results>\n"
         return Document(head, f.df.select(F.concat(F.lit("<result>"), *made, F.lit("</result>")).alias("value")), "\n", "\n</results></sparql>\n")
     if form == "csv":
-        plain = [F.when(c.startswith("_:"), c).otherwise(terms.lexical(NT, c)) for c in cells.values()]
+        plain = [F.when(c.startswith("_:"), c).otherwise(terms.lexical(NT, c)) if f.kinds[n].sort == "nt" else terms.lexical(f.kinds[n], c) for n, c in cells.items()]
         made = [F.coalesce(F.when(x.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x), F.lit("")) for x in plain]
         return Document(",".join(names) + "\r\n", f.df.select(F.concat_ws(",", *made).alias("value")), "\r\n", "\r\n")
     if form == "tsv":
-        made = [F.coalesce(_ntriples(c), F.lit("")) for c in cells.values()]
+        made = [F.coalesce(_ntriples(terms.text(f.kinds[n], c)), F.lit("")) for n, c in cells.items()]
         return Document("\t".join("?" + n for n in names) + "\n", f.df.select(F.concat_ws("\t", *made).alias("value")), "\n", "\n")
     raise ValueError(f"no bindings as {form}; one of {SELECT_FORMATS}")
 
