@@ -1,20 +1,22 @@
 """Relational tables as virtual quads: a row is a subject, its columns are literals and its keys links.
 
 Patterns on one subject whose predicates belong to one table become a single projection of that table
-(star collapse). Subjects stay keys under a static IRI template until they are printed, so joins compare integers.
+(star collapse), optional ones too. Subjects stay keys under a static IRI template until they are printed, so joins compare integers.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom import terms
 from quadloom.runtime import table
-from quadloom.sparql.algebra import Pattern
+from quadloom.sparql.algebra import BGP, LeftJoin, Pattern
 from quadloom.sparql.frame import Frame, union
 from quadloom.terms import IRI, IRI_KIND, NT, RDF_TYPE, Kind, Lit, Var
 
@@ -103,9 +105,10 @@ class MappedSource:
         schema = ", ".join(f"`{n}` string" for n in sorted(names)) or "`__none` string"
         return Frame(self.spark.createDataFrame([], schema), {n: NT for n in names})
 
-    def _one(self, t: Table, patterns: list[Pattern], graph) -> Frame:
-        """One scan of a table for all patterns."""
-        df, kinds, columns, conditions = self.load(t.name), {}, {}, []
+    def _bound(self, t: Table, patterns: list[Pattern], unpivoted: bool = False) -> tuple[dict[str, Kind], dict[str, Column], list[Column]]:
+        """What the patterns of one subject bind over the rows of a table: kinds and expressions of variables, and conditions."""
+        kinds, columns, conditions = {}, {}, []
+        numbers = dict(self.load(t.name).dtypes).get(t.keys[0]) != "string"
 
         def bind(term, kind: Kind, c: Column) -> None:
             if isinstance(term, Var):
@@ -122,7 +125,7 @@ class MappedSource:
                     conditions.append(F.lit(False))
                 else:
                     rest = term.value[len(kind.template) :]
-                    numeric = dict(df.dtypes).get(t.keys[0]) != "string" and kind.template and len(self._keys(kind)) == 1
+                    numeric = numbers and kind.template and len(self._keys(kind)) == 1
                     conditions.append(c == F.lit(int(rest)) if numeric and rest.lstrip("-").isdigit() else c.cast("string") == F.lit(rest))
             elif isinstance(term, Lit) and kind.dt in terms.NATIVE:
                 same = term.dt == kind.dt or {term.dt, kind.dt} <= terms.NUMERICS
@@ -130,35 +133,102 @@ class MappedSource:
             else:
                 conditions.append(F.lit(False))
 
-        wild = [p for p in patterns if isinstance(p.p, Var)]
-        if wild:
-            df = self._unpivot(t)
-            if isinstance(graph, Var):
-                df = df.withColumn("__g", F.lit(t.name))
-            p = wild[0]
+        if unpivoted:
+            p = patterns[0]
             bind(p.s, Kind("iri", template=t.template), F.col("__s"))
             bind(p.p, IRI_KIND, F.col("__p"))
             bind(p.o, NT, F.col("__o"))
-        else:
-            literal = self.literals(t)
-            for p in patterns:
-                bind(p.s, Kind("iri", template=t.template), t.key())
-                iri = p.p.value
-                if iri == RDF_TYPE:
-                    if isinstance(p.o, Var):
-                        bind(p.o, IRI_KIND, F.lit(t.cls))
-                elif iri.startswith(COLUMN):
-                    c = iri[len(COLUMN) :]
-                    bind(p.o, Kind("lit", literal[c]), F.col(c).cast("timestamp") if literal[c] == "xsd:dateTime" else F.col(c))
-                else:
-                    target, link = t.links[iri[len(LINK) :]]
-                    bind(p.o, Kind("iri", template=f"{ROW}{target}/"), link())
+            return kinds, columns, conditions
+        literal = self.literals(t)
+        for p in patterns:
+            bind(p.s, Kind("iri", template=t.template), t.key())
+            iri = p.p.value
+            if iri == RDF_TYPE:
+                if isinstance(p.o, Var):
+                    bind(p.o, IRI_KIND, F.lit(t.cls))
+            elif iri.startswith(COLUMN):
+                c = iri[len(COLUMN) :]
+                bind(p.o, Kind("lit", literal[c]), F.col(c).cast("timestamp") if literal[c] == "xsd:dateTime" else F.col(c))
+            else:
+                target, link = t.links[iri[len(LINK) :]]
+                bind(p.o, Kind("iri", template=f"{ROW}{target}/"), link())
+        return kinds, columns, conditions
+
+    def _one(self, t: Table, patterns: list[Pattern], graph) -> Frame:
+        """One scan of a table for all patterns."""
+        df = self.load(t.name)
+        wild = [p for p in patterns if isinstance(p.p, Var)]
+        if wild:
+            df = self._unpivot(t)
+        kinds, columns, conditions = self._bound(t, wild[:1] or patterns, bool(wild))
         if isinstance(graph, Var):
             kinds[graph.name], columns[graph.name] = Kind("iri", template=GRAPH), F.lit(t.name)
         for c in conditions:
             df = df.where(c)
         return Frame(df.select(*[c.alias(n) for n, c in columns.items()]) if columns else df.select(F.lit(1).alias("__one")), kinds)
 
+    def optional_star(self, node: LeftJoin, graph, condition: Callable[[dict[str, Kind], Any], Column]) -> Frame | None:
+        """A tree of optional patterns about one subject as one scan of its table, or null if that can't be.
+
+        Rows have a subject of their own and at most one value for a predicate, so an optional part is its columns where
+        all of its conditions hold, and null elsewhere. ``condition`` compiles a filter over variables of known kinds.
+        """
+        leaves: list[list[Pattern]] = []
+
+        def collect(n) -> bool:
+            if isinstance(n, BGP):
+                leaves.append(n.patterns)
+                return bool(n.patterns)
+            return isinstance(n, LeftJoin) and collect(n.left) and collect(n.right)
+
+        if isinstance(graph, (Var, list)) or not collect(node):
+            return None
+        every = [p for leaf in leaves for p in leaf]
+        subject = every[0].s
+        if not isinstance(subject, Var) or any(p.s != subject or not isinstance(p.p, IRI) or p.o == subject for p in every):
+            return None
+        tables = self._graph_tables(graph)
+        fits = [{t.name for t in tables if self._fits(t, p)} for p in leaves[0]]
+        home = set.intersection(*fits)
+        if len(home) != 1:
+            return None
+        t = self.tables[home.pop()]
+        if not all(self._fits(t, p) for p in every):
+            return None
+        own = [{p.o.name for p in leaf if isinstance(p.o, Var)} for leaf in leaves]
+        if sum(map(len, own)) != len(set().union(*own)):
+            return None  # a variable of two parts
+        bound = [self._bound(t, leaf) for leaf in leaves]
+        df = self.load(t.name)
+        kinds, columns, conditions = bound[0]
+        for c in conditions:
+            df = df.where(c)
+        met = lambda cs: functools.reduce(lambda a, b: a & b, cs, F.lit(True))
+        hidden = [met(cs).alias(f"__met{i}") for i, (_, _, cs) in enumerate(bound) if i]
+        values = [c.alias(n) for i, (_, cs, _) in enumerate(bound) for n, c in cs.items() if i == 0 or n != subject.name]
+        df = df.select(*values, *hidden)
+        kinds = dict(kinds)
+        for i, (ks, _, _) in enumerate(bound):
+            kinds.update({n: k.unbound(i > 0) for n, k in ks.items() if i == 0 or n != subject.name})
+        number = iter(range(len(leaves)))
+
+        def attach(df: DataFrame, n, outside: Column) -> tuple[DataFrame, Column, set[str]]:
+            """``df`` with the variables of a part null where it isn't met; whether it is met; its variables."""
+            if isinstance(n, BGP):
+                i = next(number)
+                return df, outside & F.coalesce(F.col(f"__met{i}"), F.lit(False)) if i else outside, own[i] | {subject.name}
+            df, left, mine = attach(df, n.left, outside)
+            df, right, new = attach(df, n.right, left)
+            if n.condition is not None:  # sees the variables of its two sides only
+                right = right & F.coalesce(condition({v: k for v, k in kinds.items() if v in mine | new}, n.condition), F.lit(False))
+            flag = f"__ok{len(df.columns)}"
+            df = df.withColumn(flag, right)
+            df = df.withColumns({v: F.when(F.col(flag), F.col(f"`{v}`")) for v in sorted(new - {subject.name})})
+            return df, left, mine | new
+
+        df, _, _ = attach(df, node, F.lit(True))
+        return Frame(df.select(*[f"`{n}`" for n in kinds]), kinds)
+
     def _keys(self, kind: Kind) -> tuple[str, ...]:
         return self.tables[kind.template[len(ROW) : -1]].keys if kind.template.startswith(ROW) else ("",)
 

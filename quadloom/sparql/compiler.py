@@ -59,6 +59,8 @@ class Compiler:
                 return self.bgp(patterns, graph, {})
             case A.Join(a, b):
                 return join(self.pattern(a, graph), self.pattern(b, graph))
+            case A.LeftJoin() if (f := self.optional_star(node, graph)) is not None:
+                return f
             case A.LeftJoin(a, b, None):
                 return join(self.pattern(a, graph), self.pattern(b, graph), "left")
             case A.LeftJoin(a, b, condition):
@@ -230,6 +232,16 @@ class Compiler:
         column = F.coalesce(F.col(name), F.lit(False))
         return f, ~column if e.negated else column
 
+    def optional_star(self, node: A.LeftJoin, graph: Any) -> Frame | None:
+        """Optional parts about the subject of a mapped table without a join, if the source can do that."""
+
+        def plain(n: Any) -> bool:
+            return not isinstance(n, A.LeftJoin) or (not parts(n.condition, A.Exists) and plain(n.left) and plain(n.right))
+
+        if not hasattr(self.source, "optional_star") or (graph is None and self.base is not None) or self.outer or not plain(node):
+            return None
+        return self.source.optional_star(node, graph, lambda kinds, e: self.scope(kinds).condition(e))
+
     def optional(self, a: Any, b: Any, condition: Any, graph: Any) -> Frame:
         left, right = self.pattern(a, graph), self.pattern(b, graph)
         if not parts(condition, A.Exists):

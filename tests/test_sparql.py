@@ -235,3 +235,27 @@ def test_look_ups_by_subject_read_the_copy_in_its_order(spark, engine, tmp_path)
         assert rows(e.sparql(q)) == rows(engine.sparql(q))
     assert all("_subjects" in f for f in e.sparql("SELECT ?p ?o { <urn:a> ?p ?o }").inputFiles())
     assert e.source.df.count() == engine.source.df.distinct().count()
+
+
+@pytest.mark.parametrize(
+    "where",
+    [
+        "?s c:k ?k OPTIONAL { ?s c:name ?n }",
+        "?s c:k ?k OPTIONAL { ?s c:name ?n ; c:v ?v }",
+        "?s c:k ?k OPTIONAL { ?s c:name ?n } OPTIONAL { ?s c:v ?v FILTER(?v > 4 && BOUND(?n)) }",
+        "?s c:k ?k OPTIONAL { ?s c:name ?n OPTIONAL { ?s c:v ?v } }",
+        "?s c:k ?k OPTIONAL { ?s c:name ?n OPTIONAL { ?s c:v ?v } FILTER(!BOUND(?v) || ?v < 6) }",
+        "?s c:k ?k OPTIONAL { ?s c:name 'x' ; c:v ?v }",
+        "?s c:name ?n OPTIONAL { ?s c:v ?v FILTER(?v > ?k) } OPTIONAL { ?s c:k ?k }",
+    ],
+)
+def test_optional_parts_of_a_row_need_no_join(spark, where):
+    df = spark.createDataFrame([(1, "x", 5.0), (2, None, 6.0), (3, "y", None), (4, None, None), (5, "x", 7.0)], "k long, name string, v double")
+    e = Engine(MappedSource(spark, [Table("t", ("k",))], lambda _: df))
+    query = f"SELECT * WHERE {{ {where} }}"
+    got = e.sparql(query)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = MappedSource(spark, [Table("t", ("k",))], lambda _: df)
+    plain.optional_star = lambda *_: None
+    joined = Engine(plain).sparql(query)
+    assert got.columns and sorted(got.columns) == sorted(joined.columns) and rows(got.select(*joined.columns)) == rows(joined)
